@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from fenestra.llm import bpe
+from fenestra.llm import bpe, matroska, mixing, tokens
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
+    "op2_matroska": matroska.op2_matroska,
+    "op7_token_counts": tokens.op7_token_counts,
+    "op8_mixing": mixing.op8_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_mixing": mixing.OP8_SQL,
+}
