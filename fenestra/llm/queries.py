@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from fenestra.llm import bpe, matroska, mixing, tokens
+from fenestra.llm import bpe, lines, matroska, mixing, pii, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_matroska": matroska.op2_matroska,
+    "op3_line_frequency": lines.op3_line_frequency,
+    "op5_simhash": simhash.op5_simhash,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_mixing": mixing.op8_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {
+    "op3_line_frequency": lines.OP3_SQL,
     "op8_mixing": mixing.OP8_SQL,
 }
