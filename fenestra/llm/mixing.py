@@ -62,9 +62,7 @@ def moment(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
 
 
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules: tuple = SCHEDULES, epochs: int = EPOCHS, rows: int | None = None) -> DataFrame:
-    """docs (doc_id, source, text or size, and others) with size, source_size, target, copies, taken and moments, an array with one for each copy."""
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    """docs (doc_id, source, size, and others) with size, source_size, target, copies, taken and moments, an array with one for each copy."""
     rows = docs.count() if rows is None else rows
     sources = targets(docs.select("source", "size"), weights, epochs)
     # The order: by the hash of the id; a bucket is a range of hashes.
@@ -100,8 +98,18 @@ def training_order(planned: DataFrame) -> DataFrame:
     return planned.withColumn("moment", F.explode("moments")).drop("moments").orderBy("moment", "doc_id")
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The training order of docs, with their columns only."""
+    inner = docs.withColumn("_document", F.struct(*docs.columns)).select("_document", "doc_id", "source", "text")
+    return training_order(plan(sized(inner).drop("text"), rows=docs.count())).select("_document.*")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).drop("text"))
+    planned = plan(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
     first, last = F.round(F.array_min("moments"), 6), F.round(F.array_max("moments"), 6)
     return planned.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_moment"), last.alias("last_moment"))
 
