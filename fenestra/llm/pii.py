@@ -130,17 +130,19 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, limit: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above the limit."""
+    n = F.lit(float(max(1, rows.select("document").distinct().count())))
     near = rows.where(F.size("near") > 0).select("document", F.explode("near").alias("w")).select("document", "w.entity", "w.term").distinct()
     entities = rows.where(F.size("spans") > 0).select("document", F.explode("spans").alias("s")).select("document", F.xxhash64("s.kind", F.lower("s.value")).alias("entity")).distinct()
     of_entity = entities.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= support)
-    pairs = cut(near.groupBy("entity", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support).join(of_entity, "entity"))
+    # A term is in at least as many documents as have it near any entity; pairs that can't reach the limit even so need no count.
+    at_least = near.select("document", "term").distinct().groupBy("term").agg(F.count("*").alias("c_near"))
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support).join(of_entity, "entity").join(at_least, "term")
+    pairs = cut(pairs.where(F.col("c_near") <= 1.000001 * F.col("c_et") * F.pow(n / F.col("c_e"), F.lit(1 - limit))).drop("c_near"))
     wanted = pairs.select("term").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)), lambda w: F.xxhash64(w)))
     having = docs.select(F.xxhash64("text").alias("document"), F.explode(words).alias("term")).join(wanted, "term", "left_semi").distinct()
     of_term = having.groupBy("term").agg(F.count("*").alias("c_t"))
-    everything = docs.select(F.xxhash64(text_or_empty("text")).alias("document")).distinct().count()
-    n = F.lit(float(max(1, everything)))
     pmi = F.log2(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
     # An entity that every document has is no information.
     disclosure = F.when(F.col("c_e") < n, pmi / F.log2(n / F.col("c_e"))).otherwise(0.0)
