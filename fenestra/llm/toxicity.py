@@ -44,10 +44,12 @@ from fenestra.llm.common import table
 #: Letters of a subsequence, the stretch it may span, and its decay.
 LENGTH, SPAN, DECAY = 4, 7, 0.6
 #: Documents of each label in the training sample; landmarks of each kind; rounds of relabelling; Newton steps; the cost of errors.
-SAMPLE_TOXIC, SAMPLE_CLEAN, LANDMARKS, ROUNDS, STEPS, COST = 700, 1100, 96, 3, 8, 30.0
+SAMPLE_TOXIC, SAMPLE_CLEAN, LANDMARKS, ROUNDS, STEPS, COST = 700, 1100, 64, 3, 8, 30.0
 #: Scores of words that a Python worker remembers; characters of the texts handled at a time.
 MEMO, CHARACTERS = 300_000, 1_000_000
 THRESHOLD = 0.3
+#: Rows that a step of training works on at a time.
+BLOCK = 8192
 #: Toxic documents that must have a word which clean ones lack, for it to be taken for toxic at first.
 SUPPORT = 3
 
@@ -164,16 +166,17 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def svm(z: np.ndarray, y: np.ndarray, w: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton steps on squared hinge loss, of errors by weight; the last entry of w is the bias."""
+    """Newton steps on squared hinge loss, of errors by weight; the last entry of w is the bias. Sums are taken over blocks of rows."""
+    n = z.shape[1]
     for _ in range(STEPS):
-        margin = 1 - y * (z @ w[:-1].astype(np.float32) + w[-1])
-        on = margin > 0
-        a, t, c = z[on], y[on], COST * weight[on]
-        heavy = a * c[:, None].astype(np.float32)
-        h = (heavy.T @ a).astype(np.float64) + np.eye(z.shape[1])
-        edge = heavy.sum(0, dtype=np.float64)
-        full = np.block([[h, edge[:, None]], [edge[None, :], np.array([[c.sum() + 1e-6]])]])
-        new = np.linalg.solve(full, np.r_[heavy.T @ t.astype(np.float32), (c * t).sum()])
+        h, g = np.diag(np.r_[np.ones(n), 1e-6]), np.zeros(n + 1)
+        for lo in range(0, len(z), BLOCK):
+            own = np.hstack([z[lo : lo + BLOCK], np.ones((len(z[lo : lo + BLOCK]), 1), np.float32)])
+            on = (y[lo : lo + BLOCK] * (own @ w.astype(np.float32)) < 1) & (weight[lo : lo + BLOCK] > 0)
+            own, c = own[on], (COST * weight[lo : lo + BLOCK][on]).astype(np.float32)
+            h += (own * c[:, None]).T @ own
+            g += own.T @ (c * y[lo : lo + BLOCK][on].astype(np.float32))
+        new = np.linalg.solve(h, g)
         done = np.abs(new - w).max() < 1e-3
         w = new
         if done:
@@ -222,6 +225,7 @@ def train(texts: list[str], toxic: list[int]) -> Machine | None:
             new = [x for x in hard if x not in set(landmarks)]
             if new:
                 landmarks += new
+                del z
                 k = np.hstack([k, kernel(vocabulary, new)])
     scale = back @ w[:-1] / norms(landmarks)
     weights = np.zeros(1 << 5 * LENGTH)
