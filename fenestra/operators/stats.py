@@ -98,6 +98,6 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, resamples: int, seed:
         weight = weight + (u >= below).cast("int")
         term /= k
     drawn = rows.select(*by, F.col(value).cast("double").alias("_v"), key, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("_w", weight)
-    means = drawn.groupBy(*by, "resample").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("mean"))
+    means = drawn.groupBy(*by, "resample").agg(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w").cast("double")).alias("mean"))
     low = (1 - level) / 2
     return means.groupBy(*by).agg(F.percentile("mean", low).alias("low"), F.percentile("mean", 1 - low).alias("high"), F.count("*").alias("resamples"))
