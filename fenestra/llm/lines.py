@@ -81,7 +81,8 @@ def verdicts(docs: DataFrame, limit: int = LIMIT, left: float = LEFT, left_words
 
 
 def judged(docs: DataFrame, limit: int = LIMIT, left: float = LEFT, left_words: int = LEFT_WORDS) -> DataFrame:
-    """docs (doc_id, text, source) with the base counts, base_failed, words left, and kept."""
+    """doc_id, the base counts, base_failed, words left, and kept, for each row of docs (doc_id, text, source)."""
+    docs = docs.select("doc_id", "text", "source")
     marked = docs.withColumn("document", F.xxhash64("source", "text")).withColumn("base", base(text_or_empty("text"))).drop("text")
     flat = marked.select("*", "base.*").drop("base")
     n = F.col("n_words")

@@ -184,7 +184,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         )
     )
     per_text = found_.select("document", cuts.alias("_cuts")).dropDuplicates(["document"])
-    text = F.col("text")
+    text = F.col("_row.text")
 
     def step(acc: Column, c: Column) -> Column:
         put = F.struct(c["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["put"]).alias("out"))
@@ -192,9 +192,8 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    joined = docs.withColumn("document", F.xxhash64(text_or_empty("text"))).join(per_text.withColumnRenamed("document", "_document"), F.col("document") == F.col("_document"), "left")
-    clean = F.when(F.col("_cuts").isNotNull(), F.aggregate("_cuts", begin, step, rest)).otherwise(text)
-    new = joined.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_cuts").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return new.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text_or_empty("text")).alias("document")).join(per_text, "document", "left")
+    hit = F.col("_cuts").isNotNull()
+    clean = rows.withColumn("_text", F.when(hit, F.aggregate("_cuts", begin, step, rest)).otherwise(text))
+    new = {"text": F.col("_text"), "n_chars": F.when(hit, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
+    return clean.select(*((new.get(c, F.col(f"_row.`{c}`"))).alias(c) for c in docs.columns))

@@ -19,8 +19,8 @@ broadcast. A sentence is scored by the sum over its words, a document by its
 highest sentence, calibrated by a logistic curve.
 
 Defined results: null text scores as empty text does, by the intercept alone.
-Rows that repeat score alike. Without labelled rows of both kinds, all rows
-score 0. Labels are used for rows of the training folds only; doc_id, language
+Rows that repeat score alike. Without LEAST labelled rows of each kind
+all rows score 0. Labels are used for rows of the training folds only; doc_id, language
 and source are never inputs.
 """
 
@@ -52,6 +52,8 @@ THRESHOLD = 0.3
 BLOCK = 8192
 #: Toxic documents that must have a word which clean ones lack, for it to be taken for toxic at first.
 SUPPORT = 3
+#: Labelled documents of each kind without which nothing is learnt.
+LEAST = 5
 
 #: Signs that stand for letters.
 ALIKE = str.maketrans("0134578@$!", "oieastbasi")
@@ -186,9 +188,9 @@ def svm(z: np.ndarray, y: np.ndarray, w: np.ndarray, weight: np.ndarray) -> np.n
 
 def train(texts: list[str], toxic: list[int]) -> Machine | None:
     """Bags are sentences, instances their words: what a clean document says is clean, and of what only toxic ones say, what the machine finds so."""
-    if len(set(toxic)) < 2:
-        return None
     label = np.array(toxic, bool)
+    if min(label.sum(), (~label).sum()) < LEAST:
+        return None
     present = [Counter(), Counter()]
     held = []
     for text, t in zip(texts, toxic):
