@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,17 @@ def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
+def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
+    """Numbers byte by byte of their size, so that the upper bytes, mostly 0, compress; sorted ones as steps."""
+    steps = np.diff(values, prepend=values.dtype.type(0)) if sorted_ else values
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, kind, sorted_: bool = False) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(steps, dtype=kind) if sorted_ else steps
+
+
 def bounds(ranges: int) -> np.ndarray:
     return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
 
@@ -100,7 +112,7 @@ def _counted(order: int, ranges: int):
             grams, counts = np.unique(np.concatenate(ngrams(words, np.array(block.lengths), order)), return_counts=True)
             ends = [0, *np.searchsorted(grams, bounds(ranges)).tolist(), len(grams)]
             for k, (a, b) in enumerate(zip(ends, ends[1:])):
-                yield pa.RecordBatch.from_pydict({"block": [number], "part": [k], "grams": [grams[a:b].tobytes()], "counts": [counts[a:b].astype(np.int32).tobytes()]}, pa.schema([("block", pa.int64()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
+                yield pa.RecordBatch.from_pydict({"block": [number], "part": [k], "grams": [pack(grams[a:b], True)], "counts": [pack(counts[a:b].astype(np.int32))]}, pa.schema([("block", pa.int64()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
 
     return run
 
@@ -109,22 +121,22 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, block in blocks(batches):
         words = np.concatenate(block.words)
         yield pa.RecordBatch.from_pydict(
-            {"block": [number], "ids": [block.ids], "lengths": [block.lengths], "hashes": [block.hashes().tobytes()], "words": [words.tobytes()]},
+            {"block": [number], "ids": [block.ids], "lengths": [block.lengths], "hashes": [block.hashes().tobytes()], "words": [pack(words)]},
             pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("hashes", pa.binary()), ("words", pa.binary())]),
         )
 
 
-def _buffers(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+def _unpacked(column: pa.ChunkedArray, kind, sorted_: bool = False) -> list[np.ndarray]:
+    return [unpack(x.as_py(), kind, sorted_) for x in column]
 
 
 def _summed(own: pa.Table) -> pa.Table:
     """A range of the count table: each block's n-grams get the counts of all blocks."""
-    grams, counts = _buffers(own["grams"], np.uint64), _buffers(own["counts"], np.int32)
+    grams, counts = _unpacked(own["grams"], np.uint64, True), _unpacked(own["counts"], np.int32)
     _, at = np.unique(np.concatenate(grams), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]
     ends = np.cumsum([0, *map(len, grams)])
-    return pa.table({"block": own["block"], "part": own["part"], "totals": pa.array([total[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
+    return pa.table({"block": own["block"], "part": own["part"], "totals": pa.array([pack(total[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
 def _scored(order: int, prune: int, factor: float, total: int):
@@ -133,11 +145,11 @@ def _scored(order: int, prune: int, factor: float, total: int):
         if not text.num_rows:
             return schema.empty_table()
         lengths = np.array(text["lengths"][0].as_py(), np.int64)
-        words = _buffers(text["hashes"], np.uint64)[0][_buffers(text["words"], np.uint32)[0]]
+        words = np.frombuffer(text["hashes"][0].as_py(), np.uint64)[unpack(text["words"][0].as_py(), np.uint32)]
         levels = ngrams(words, lengths, order)
         _, at = np.unique(np.concatenate(levels), return_inverse=True)
         answers = answers.sort_by("part")
-        totals = np.concatenate(_buffers(answers["totals"], np.int64)) if answers.num_rows else np.zeros(0, np.int64)
+        totals = np.concatenate(_unpacked(answers["totals"], np.int64)) if answers.num_rows else np.zeros(0, np.int64)
         counts = totals[at].reshape(order, len(words))
         counts = np.where(np.stack(levels) != 0, counts, 0)
         value = np.log(np.maximum(counts[0], 1) / max(1, total))
