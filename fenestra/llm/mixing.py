@@ -10,7 +10,7 @@ demand reaches it. ``training_order`` has a row for each copy, range-sorted by
 that moment. ``taken`` of a source differs from its target by at most half a
 document.
 
-Running sums are taken in buckets of some thousand documents of a source and
+Running sums are taken in buckets of some hundred documents of a source and
 then over buckets, so a source that holds most rows is spread as well.
 
 Defined results: null text has size 0 and is taken no words; a null source is a
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fenestra.llm.common import WORD, table
+from fenestra.llm.common import WORD, cut, table
 
 #: Weights of the sources in order, repeating; passes over a source at most; documents of a bucket.
-WEIGHTS, EPOCHS, BUCKET = (1.0, 2.0, 3.0), 3, 4000
+WEIGHTS, EPOCHS, BUCKET = (1.0, 2.0, 3.0), 3, 500
 #: Schedules by weight number, as densities at moments from 0 to 1: early, even, late.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 2.0)))
 
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = plan(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text"))
+    planned = plan(cut(sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")))
     first, last = F.round(F.array_min("moments"), 6), F.round(F.array_max("moments"), 6)
     return planned.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_moment"), last.alias("last_moment"))
 
