@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fenestra.llm.common import table, text_or_empty
+from fenestra.llm.common import cut, table, text_or_empty
 
 #: Documents of a host that may share a line; the share of words, and the words, that must remain.
 LIMIT, LEFT, LEFT_WORDS = 20, 0.2, 10
@@ -73,7 +73,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, limit: int = LIMIT, left: float = LEFT, left_words: int = LEFT_WORDS) -> DataFrame:
     """(document, words, left, depleted) of each distinct text and host that has words."""
-    lines = line_table(docs)
+    lines = cut(line_table(docs))
     common = lines.groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
     marked = lines.join(common, "line", "left")
     sums = marked.groupBy("document").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("documents").isNull(), F.col("words")).otherwise(0)).alias("left"))
