@@ -17,6 +17,13 @@ what leaves it grows with its members, not with their pairs. A bucket over
 leaves open; with 12 open bits or fewer it can't be larger than that. Large-star
 and small-star rounds join the forests to components.
 
+Three bits of 64 find copies with very few changes only. ``near_duplicates`` with
+``similar`` also links texts whose shingles of five words are alike by about 0.8
+or more: the fingerprint is continued to ``TABLES`` x 64 bits by further hashes of
+the same shingles, any ``WIDTH`` bits that agree make a candidate, and candidates
+are linked if at most ``DIFFERING`` of ``CODE`` bits differ, which is where a
+similarity of 0.8 puts them. This part is probabilistic; its recall is tested.
+
 Defined results: null text and text without words have fingerprint 0, linked
 like any other. component_id is the smallest non-null doc_id of the component,
 null if it has none. Rows that repeat get the same result each.
@@ -35,10 +42,13 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from fenestra.llm.common import cut, table
+from fenestra.operators.graph import components
 
 BITS, TAU, SEED = 64, 3, 42
 #: Fingerprints of the sample that steers the plan; members of a bucket that one task verifies; shingles hashed at a time.
 SAMPLE, BUCKET, SHINGLES = 2048, 4096, 1 << 16
+#: Longer codes for similar texts: tables of 64 bits, bits of a probe, bits that are compared, share of them that may differ, members of a bucket.
+TABLES, WIDTH, CODE, DIFFERING, CROWD = 8, 20, 512, 0.115, 50_000
 #: Cost of a pair to verify, in rows to shuffle.
 PAIR_COST = 0.02
 
@@ -64,6 +74,39 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array([fingerprint_of((x.as_py() or "").encode()) for x in texts], pa.int64())
 
 
+MIX = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) for j in range(1, TABLES)], np.uint64)
+
+
+def code_of(text: bytes) -> tuple[int, bytes, list[int]]:
+    """The fingerprint, the bits that are compared, and the probes; a text without words has no probes."""
+    words = text.lower().split()
+    if not words:
+        return 0, bytes(CODE // 8), []
+    n = max(1, len(words) - 2)
+    ones = np.zeros((TABLES, BITS), np.int64)
+    for i in range(0, n, SHINGLES):
+        some = words[i : i + SHINGLES + 2]
+        shingles = map(b" ".join, zip(some, some[1:], some[2:])) if len(words) > 2 else [b" ".join(words)]
+        hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+        for j in range(TABLES):
+            h = hashes
+            if j:
+                h = hashes * MIX[j - 1]
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                h ^= h >> np.uint64(29)
+            ones[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = (2 * ones > n).ravel()
+    packed = np.packbits(bits, bitorder="little")
+    used = bits[: len(bits) // WIDTH * WIDTH].reshape(-1, WIDTH)
+    return int(packed[:8].view(np.int64)[0]), packed[: CODE // 8].tobytes(), (used @ (1 << np.arange(WIDTH))).tolist()
+
+
+@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]))
+def codes(texts: pa.Array) -> pa.Array:
+    fps, bits, probes = zip(*(code_of((x.as_py() or "").encode()) for x in texts)) if len(texts) else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), pa.array(probes, pa.list_(pa.int32()))], ["fp", "code", "probes"])
+
+
 # -- the plan --------------------------------------------------------------------
 def grouped_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     """m parts of like sizes; each grows by the bit that correlates most with those it has. bits: sample x 64."""
@@ -152,6 +195,26 @@ def forest(values: np.ndarray, tau: int = TAU) -> list[tuple[int, int]]:
     return out
 
 
+def similar_forest(fps: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
+    """As forest, for codes (members x words of 64 bits) whose differing bits are few enough; what is linked is named by fingerprints."""
+    order = np.argsort(fps, kind="stable")
+    fps, bits, out = fps[order], bits[order], []
+    open_ = np.ones(len(fps), bool)
+    for start in range(len(fps)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            rest = np.flatnonzero(open_)
+            near = rest[np.bitwise_count(bits[rest] ^ bits[at]).sum(1) <= DIFFERING * CODE]
+            open_[near] = False
+            todo.extend(near.tolist())
+            out.extend((int(fps[i]), int(fps[start])) for i in near)
+    return out
+
+
 EDGE = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
@@ -175,6 +238,29 @@ def _forests(tau: int):
     return found
 
 
+@F.arrow_udf(EDGE)
+def similar_forests(fps: pa.Array, bits: pa.Array) -> pa.Array:
+    rows, ends, at = [], [0], 0
+    values, words = fps.flatten().to_numpy(), np.frombuffer(b"".join(x.as_py() for x in bits.flatten()), np.uint64).reshape(-1, CODE // 64)
+    for n in fps.value_lengths().to_pylist():
+        rows += similar_forest(values[at : at + n], words[at : at + n])
+        at += n
+        ends.append(len(rows))
+    u, v = zip(*rows) if rows else ((), ())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]))
+
+
+def similar_edges(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links (u, v) between fingerprints of similar texts. nodes: (fp, code, probes), fp unique. A bucket over crowd members is parted by its members' next probes."""
+    rows = nodes.select("fp", "code", "probes", F.posexplode("probes").alias("probe", "key")).select("fp", "code", "probe", F.col("key").cast("long").alias("key"), F.element_at("probes", F.pmod(F.col("probe") + 1, F.size("probes")) + 1).alias("next"))
+    large = cut(rows.groupBy("probe", "key").count().where(F.col("count") > crowd).select("probe", "key"))
+    if not large.isEmpty():
+        parted = rows.join(large, ["probe", "key"], "left_semi").withColumn("key", F.xxhash64("key", "next"))
+        rows = rows.join(large, ["probe", "key"], "left_anti").unionByName(parted)
+    buckets = rows.groupBy("probe", "key").agg(F.collect_list(F.struct("fp", "code")).alias("m")).where(F.size("m") > 1)
+    return buckets.select(F.explode(similar_forests(F.col("m")["fp"], F.col("m")["code"])).alias("e")).select("e.u", "e.v").distinct()
+
+
 def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -206,31 +292,21 @@ def edges(fps: DataFrame, total: int, tau: int = TAU, bucket: int = BUCKET) -> D
 
 
 # -- components ------------------------------------------------------------------
-def components(links: DataFrame) -> DataFrame:
-    """(u, root): every node but the roots, with the smallest node that it is connected to. links: (u, v)."""
-    pairs = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
-    state = None
-    while True:
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        pairs = cut(small.distinct())
-        now = tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.sum(F.expr("cast(xxhash64(u, v) as decimal(38, 0))"))).first())
-        if now == state:
-            return pairs.select("u", F.col("v").alias("root"))
-        state = now
-
-
-def near_duplicates(docs: DataFrame, tau: int = TAU, text: str | Column = "text") -> DataFrame:
-    """doc_id, fp and component_id for each row of docs."""
-    rows = cut(docs.select("doc_id", fingerprints(F.col(text) if isinstance(text, str) else text).alias("fp")))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
-    roots = components(edges(nodes.select("fp"), nodes.count(), tau)).withColumnRenamed("u", "fp")
-    joined = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def near_duplicates(docs: DataFrame, tau: int = TAU, text: str | Column = "text", similar: bool = False) -> DataFrame:
+    """doc_id, fp and component_id for each row of docs; similar: whether similar texts are linked as well."""
+    column = F.col(text) if isinstance(text, str) else text
+    if similar:
+        rows = cut(docs.select("doc_id", codes(column).alias("c")).select("doc_id", "c.*"))
+    else:
+        rows = cut(docs.select("doc_id", fingerprints(column).alias("fp")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest"), *([F.min(F.struct("code", "probes")).alias("c")] if similar else [])))
+    links = edges(nodes.select("fp"), nodes.count(), tau)
+    if similar:
+        links = links.unionByName(similar_edges(nodes.select("fp", "c.code", "c.probes")))
+    roots = components(links).withColumnRenamed("u", "fp")
+    joined = nodes.select("fp", "lowest").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    return rows.join(joined.join(named, "root").select("fp", "component_id"), "fp")
+    return rows.select("doc_id", "fp").join(joined.join(named, "root").select("fp", "component_id"), "fp")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,8 +315,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with its smallest doc_id; a row without doc_id stays, of rows that share one a single one does."""
-    found = near_duplicates(docs)
+    """docs with one document of each component of equal, nearly equal and similar texts, the one with its smallest doc_id; a row without doc_id stays, of rows that share one a single one does."""
+    found = cut(near_duplicates(docs, similar=True))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():

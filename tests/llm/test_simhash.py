@@ -96,3 +96,34 @@ def test_deduplicated(spark):
     texts = [(3, "a b c d"), (1, "a b c d"), (2, "other words are here"), (2, "other words are here"), (None, "a b c d"), (9, None)]
     out = s.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in out) == ["1", "2", "9", "None"]
+
+
+def edited_copies(seed, groups, copies, share):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    out = []
+    for g in range(groups):
+        base = [word() for _ in range(rng.randint(120, 300))]
+        for c in range(copies):
+            words = list(base)
+            for _ in range(int(len(words) * share * (c > 0))):
+                words[rng.randrange(len(words))] = word()
+            out.append((g * 1000 + c, " ".join(words), g))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [50_000, 3])
+def test_similar_texts_are_linked(spark, crowd, monkeypatch):
+    monkeypatch.setattr(s.similar_edges, "__defaults__", (crowd,))
+    docs = edited_copies(3, 60, 5, 0.012)  # five-word shingles alike by about 0.88
+    found = s.near_duplicates(spark.createDataFrame([(a, b) for a, b, _ in docs], "doc_id long, text string"), similar=True).collect()
+    group = {a: g for a, _, g in docs}
+    lowest = {g: g * 1000 for g in set(group.values())}
+    assert all(group[r.component_id] == group[r.doc_id] for r in found)
+    assert sum(r.component_id == lowest[group[r.doc_id]] for r in found) >= 0.95 * len(found)
+
+
+def test_code_starts_with_the_fingerprint():
+    for text in [b"", b"one", b"one two three four five six", b"x y z " * 500]:
+        fp, code, probes = s.code_of(text)
+        assert fp == s.fingerprint_of(text) and len(code) == s.CODE // 8 and len(probes) == (s.TABLES * 64 // s.WIDTH if text else 0)
