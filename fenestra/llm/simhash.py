@@ -14,7 +14,9 @@ bucket. Buckets hold distinct fingerprints (exact copies are one), and each is
 verified pair by pair inside but gives only a spanning forest of its links, so
 what leaves it grows with its members, not with their pairs. A bucket over
 ``BUCKET`` members is split by the pigeonhole again, over the bits that its key
-leaves open; with 12 open bits or fewer it can't be larger than that. Large-star
+leaves open, up to ``LEVELS`` times; what agrees in so many bits and is still
+many is a dense cluster, of which a member reaches most others in one step, so
+that verifying it takes time by its members and not by their pairs. Large-star
 and small-star rounds join the forests to components.
 
 Three bits of 64 find copies with very few changes only. ``near_duplicates`` with
@@ -45,8 +47,8 @@ from fenestra.llm.common import cut, table
 from fenestra.operators.graph import components
 
 BITS, TAU, SEED = 64, 3, 42
-#: Fingerprints of the sample that steers the plan; members of a bucket that one task verifies; shingles hashed at a time.
-SAMPLE, BUCKET, SHINGLES = 2048, 4096, 1 << 16
+#: Fingerprints of the sample that steers the plan; members of a bucket that isn't split, times that one is; shingles hashed at a time.
+SAMPLE, BUCKET, LEVELS, SHINGLES = 2048, 4096, 2, 1 << 16
 #: Longer codes for similar texts: tables of 64 bits, bits of a probe, bits that are compared, share of them that may differ, members of a bucket.
 TABLES, WIDTH, CODE, DIFFERING, CROWD = 8, 20, 512, 0.115, 50_000
 #: Cost of a pair to verify, in rows to shuffle.
@@ -275,20 +277,24 @@ def edges(fps: DataFrame, total: int, tau: int = TAU, bucket: int = BUCKET) -> D
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     masks = probes(chosen(sample, total, tau)) if len(sample) else [(1 << 64) - 1]
     rows, out, found = keyed(fps, masks), None, _forests(tau)
-    while True:
-        large = cut(rows.groupBy("probe", "key").count().where(F.col("count") > bucket).select("probe", "key"))
-        over = large.count()
+    for level in range(LEVELS + 1):
+        over = 0
+        if level < LEVELS:
+            large = cut(rows.groupBy("probe", "key").count().where(F.col("count") > bucket).select("probe", "key"))
+            over = large.count()
         fit = rows.join(large, ["probe", "key"], "left_anti") if over else rows
         buckets = fit.groupBy("probe", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         own = buckets.select(F.explode(found("fps")).alias("e")).select("e.u", "e.v")
         out = own if out is None else out.unionByName(own)
         if not over:
-            return out.distinct()
-        finer = [(i, m) for i, mask in enumerate(masks) for m in narrowed(mask, tau)]
+            break
+        split_up = {r[0] for r in large.select("probe").distinct().collect()}  # of at most as many as there are masks
+        finer = [(i, m) for i, mask in enumerate(masks) if i in split_up for m in narrowed(mask, tau)]
         split = F.array(*(F.struct(F.lit(i).alias("from"), F.lit(j).alias("probe"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for j, (i, m) in enumerate(finer)))
         inside = rows.join(large, ["probe", "key"], "left_semi")
         rows = cut(inside.select("fp", F.explode(F.filter(split, lambda s: s["from"] == F.col("probe"))).alias("k")).select("k.probe", "k.key", "fp"))
         masks = [m for _, m in finer]
+    return out.distinct()
 
 
 # -- components ------------------------------------------------------------------

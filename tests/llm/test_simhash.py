@@ -37,7 +37,7 @@ def clusters(seed, n):
     return out
 
 
-@pytest.mark.parametrize("bucket", [4096, 6])
+@pytest.mark.parametrize("bucket", [4096, 20])
 def test_links_lose_nothing(spark, bucket):
     values = clusters(5, 120)
     df = spark.createDataFrame([(v,) for v in set(values)], "fp long")
