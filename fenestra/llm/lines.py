@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from fenestra.llm.common import cut, table, text_or_empty
 
 #: Documents of a host that may share a line; the share of words, and the words, that must remain.
-LIMIT, LEFT, LEFT_WORDS = 20, 0.2, 10
+LIMIT, LEFT, LEFT_WORDS = 20, 0.2, 5
 #: Fixed values of the base rules.
 SYMBOLS, BLANKS, MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = "#*$%&|<>", " \t\n\x0b\x0c\r", 10, 20, 5
 
@@ -112,6 +112,6 @@ b AS (SELECT w.doc_id, w.source, w.text, len(ws)::BIGINT AS n_words, coalesce(le
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(rest < 0.2 * words OR (rest < 10 AND rest < words), false) AS kept, coalesce(rest, 0)::BIGINT AS words_left
+  NOT base_failed AND NOT coalesce(rest < 0.2 * words OR (rest < 5 AND rest < words), false) AS kept, coalesce(rest, 0)::BIGINT AS words_left
 FROM f LEFT JOIN v ON f.source IS NOT DISTINCT FROM v.source AND f.text = v.text
 """
