@@ -111,3 +111,29 @@ def patched(rows: DataFrame, patch: DataFrame, key: str, fields: Sequence[str])
     """rows with the fields that a patch gives a value for."""
     new = patch.select(key, *(F.col(f).alias(f"_new_{f}") for f in fields))
     return rows.join(new, key, "left").withColumns({f: F.coalesce(f"_new_{f}", f) for f in fields}).drop(*(f"_new_{f}" for f in fields))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keys: Sequence[str], left_order: Column | str, right_order: Column | str) -> DataFrame:
+    """(left_id, right_id): what a pass over left in order gives, in which each row takes the first row of right that shares any key with it and is not taken.
+
+    Each round settles the pairs whose left row comes first of all open ones
+    that could take the right row, and whose right row is its first choice.
+    Null and empty keys match nobody; ids are unique and break ties.
+    """
+    from fenestra.checkpoints import cut
+
+    def tagged(rows: DataFrame, ident: str, order: Column | str, name: str) -> DataFrame:
+        own = F.explode(F.array(*(F.when(F.col(k).cast("string") != "", F.concat_ws("\x1f", F.lit(k), F.col(k).cast("string"))) for k in keys)))
+        at = F.struct((F.col(order) if isinstance(order, str) else order).alias("o"), F.col(ident).alias("i"))
+        return rows.select(F.col(ident).alias(name), at.alias(f"{name}_at"), own.alias("key")).where(F.col("key").isNotNull())
+
+    pairs = cut(tagged(left, left_id, left_order, "l").join(tagged(right, right_id, right_order, "r"), "key").drop("key").distinct())
+    done = None
+    while not pairs.isEmpty():
+        by_left, by_right = Window.partitionBy("l"), Window.partitionBy("r")
+        marked = pairs.withColumns({"choice": F.min("r_at").over(by_left) == F.col("r_at"), "first": F.min("l_at").over(by_right) == F.col("l_at")})
+        settled = cut(marked.where("choice and first").select("l", "r"))
+        done = settled if done is None else cut(done.unionByName(settled))
+        pairs = cut(pairs.join(settled.select("l"), "l", "left_anti").join(settled.select("r"), "r", "left_anti"))
+    done = pairs.select("l", "r") if done is None else done
+    return done.select(F.col("l").alias(left_id), F.col("r").alias(right_id))
