@@ -64,12 +64,12 @@ def moment(share: Column, schedule: tuple[tuple[float, float], ...]) -> Column:
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, schedules: tuple = SCHEDULES, epochs: int = EPOCHS, rows: int | None = None) -> DataFrame:
     """docs (doc_id, source, size, and others) with size, source_size, target, copies, taken and moments, an array with one for each copy."""
     rows = docs.count() if rows is None else rows
-    sources = targets(docs.select("source", "size"), weights, epochs)
     # The order: by the hash of the id; a bucket is a range of hashes.
     digest = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
     spread = F.coalesce(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(0))
     laid = docs.withColumns({"_digest": digest, "_bucket": F.floor(spread * F.lit(rows // BUCKET + 1) / F.lit(float(1 << 32))).cast("long")})
-    sums = laid.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
+    sums = cut(laid.groupBy("source", "_bucket").agg(F.sum("size").alias("_words")))  # small; all else reads the rows once
+    sources = targets(sums.select("source", F.col("_words").alias("size")), weights, epochs)
     over_buckets = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(F.col("source").alias("_source"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_words").over(over_buckets), F.lit(0)).alias("_start"))
     in_bucket = Window.partitionBy("source", "_bucket").orderBy("_digest", "size").rowsBetween(Window.unboundedPreceding, -1)
