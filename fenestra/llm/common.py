@@ -12,7 +12,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Rows of an Arrow batch, fewer than Spark's default: rows here are whole texts, and a worker holds a batch and what it makes of it.
+BATCH = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
