@@ -20,11 +20,13 @@ that verifying it takes time by its members and not by their pairs. Large-star
 and small-star rounds join the forests to components.
 
 Three bits of 64 find copies with very few changes only. ``near_duplicates`` with
-``similar`` also links texts whose shingles of five words are alike by about 0.8
-or more: the fingerprint is continued to ``TABLES`` x 64 bits by further hashes of
-the same shingles, any ``WIDTH`` bits that agree make a candidate, and candidates
-are linked if at most ``DIFFERING`` of ``CODE`` bits differ, which is where a
-similarity of 0.8 puts them. This part is probabilistic; its recall is tested.
+``similar`` also links texts of whose sets of five-word shingles 0.8 or more is
+shared (of a shorter text, all its words are the one shingle). Candidates are those
+that agree in one of ``BANDS`` bands of ``ROWS`` minima of the sets: at 0.8, 5 pairs
+in 100,000 agree in none, wherever the changes are. Every candidate is verified by
+the sets themselves. Verified pairs of a bucket's members and a centre come first,
+by ``STARS`` choices of the centre; then all pairs whose ends are still in
+different components, in blocks of at most ``CROWD`` members.
 
 Defined results: null text and text without words have fingerprint 0, linked
 like any other. component_id is the smallest non-null doc_id of the component,
@@ -49,8 +51,11 @@ from fenestra.operators.graph import components
 BITS, TAU, SEED = 64, 3, 42
 #: Fingerprints of the sample that steers the plan; members of a bucket that isn't split, times that one is; shingles hashed at a time.
 SAMPLE, BUCKET, LEVELS, SHINGLES = 2048, 4096, 2, 1 << 16
-#: Longer codes for similar texts: tables of 64 bits, bits of a probe, bits that are compared, share of them that may differ, members of a bucket.
-TABLES, WIDTH, CODE, DIFFERING, CROWD = 8, 20, 512, 0.115, 50_000
+#: Codes for similar texts, of CODE / 8 minima, a byte of each: a probe for each WIDTH of TABLES * 64, so BANDS of ROWS minima; words of a shingle.
+TABLES, WIDTH, CODE, ROWS, WORDS = 8, 20, 1024, 5, 5
+BANDS, MINIMA = TABLES * 64 // WIDTH, CODE // 8
+#: Shared of all shingles, in tenths, from which texts are similar; equal minima below which they can't be (5 deviations below); centres tried; members of a block.
+ALIKE, EQUAL, STARS, CROWD = 8, 77, 2, 2000
 #: Cost of a pair to verify, in rows to shuffle.
 PAIR_COST = 0.02
 
@@ -76,37 +81,57 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array([fingerprint_of((x.as_py() or "").encode()) for x in texts], pa.int64())
 
 
-MIX = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) for j in range(1, TABLES)], np.uint64)
+MULTIPLIERS, FLIPS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, MINIMA, 1), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles whose minima are taken at a time.
+STEP = 4096
 
 
-def code_of(text: bytes) -> tuple[int, bytes, list[int]]:
-    """The fingerprint, the bits that are compared, and the probes; a text without words has no probes."""
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles."""
     words = text.lower().split()
-    if not words:
-        return 0, bytes(CODE // 8), []
-    n = max(1, len(words) - 2)
-    ones = np.zeros((TABLES, BITS), np.int64)
-    for i in range(0, n, SHINGLES):
-        some = words[i : i + SHINGLES + 2]
-        shingles = map(b" ".join, zip(some, some[1:], some[2:])) if len(words) > 2 else [b" ".join(words)]
-        hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
-        for j in range(TABLES):
-            h = hashes
-            if j:
-                h = hashes * MIX[j - 1]
-                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
-                h ^= h >> np.uint64(29)
-            ones[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * ones > n).ravel()
-    packed = np.packbits(bits, bitorder="little")
-    used = bits[: len(bits) // WIDTH * WIDTH].reshape(-1, WIDTH)
-    return int(packed[:8].view(np.int64)[0]), packed[: CODE // 8].tobytes(), (used @ (1 << np.arange(WIDTH))).tolist()
-
-
-@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("probes", T.ArrayType(T.IntegerType()))]))
+    if 0 < len(words) <= WORDS:
+        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + WORDS]), SEED) for i in range(len(words) - WORDS + 1)), np.uint64))
+
+
+def code_of(text: bytes) -> tuple[int, bytes, list[int]]:
+    """The fingerprint, a byte of each minimum, and the probes; a text without words has no probes."""
+    own = shingle_set(text)
+    if not len(own):
+        return 0, bytes(MINIMA), []
+    least = np.full(MINIMA, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(own), STEP):
+        least = np.minimum(least, ((own[None, i : i + STEP] ^ FLIPS) * MULTIPLIERS).min(1))
+    bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return fingerprint_of(text), least.astype(np.uint8).tobytes(), [xxh64_intdigest(b.tobytes(), SEED) - (1 << 63) for b in bands]
+
+
+@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("probes", T.ArrayType(T.LongType()))]))
 def codes(texts: pa.Array) -> pa.Array:
     fps, bits, probes = zip(*(code_of((x.as_py() or "").encode()) for x in texts)) if len(texts) else ((), (), ())
-    return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), pa.array(probes, pa.list_(pa.int32()))], ["fp", "code", "probes"])
+    return pa.StructArray.from_arrays([pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["fp", "code", "probes"])
+
+
+@F.arrow_udf(T.BooleanType())
+def may_be_similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    left, right = (np.frombuffer(b"".join(x.as_py() for x in side), np.uint8).reshape(-1, MINIMA) for side in (a, b))
+    return pa.array((left == right).sum(1) >= EQUAL, pa.bool_())
+
+
+def are_similar(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 10 * shared >= ALIKE * (len(x) + len(y) - shared)
+
+
+@F.arrow_udf(T.BooleanType())
+def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    out, known, own = [], None, None
+    for x, y in zip(a, b):
+        text = x.as_py()
+        if text != known:  # centres come in runs
+            known, own = text, shingle_set(text.encode())
+        out.append(are_similar(own, shingle_set(y.as_py().encode())))
+    return pa.array(out, pa.bool_())
 
 
 # -- the plan --------------------------------------------------------------------
@@ -197,26 +222,6 @@ def forest(values: np.ndarray, tau: int = TAU) -> list[tuple[int, int]]:
     return out
 
 
-def similar_forest(fps: np.ndarray, bits: np.ndarray) -> list[tuple[int, int]]:
-    """As forest, for codes (members x words of 64 bits) whose differing bits are few enough; what is linked is named by fingerprints."""
-    order = np.argsort(fps, kind="stable")
-    fps, bits, out = fps[order], bits[order], []
-    open_ = np.ones(len(fps), bool)
-    for start in range(len(fps)):
-        if not open_[start]:
-            continue
-        open_[start] = False
-        todo = [start]
-        while todo:
-            at = todo.pop()
-            rest = np.flatnonzero(open_)
-            near = rest[np.bitwise_count(bits[rest] ^ bits[at]).sum(1) <= DIFFERING * CODE]
-            open_[near] = False
-            todo.extend(near.tolist())
-            out.extend((int(fps[i]), int(fps[start])) for i in near)
-    return out
-
-
 EDGE = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
 
 
@@ -240,27 +245,45 @@ def _forests(tau: int):
     return found
 
 
-@F.arrow_udf(EDGE)
-def similar_forests(fps: pa.Array, bits: pa.Array) -> pa.Array:
-    rows, ends, at = [], [0], 0
-    values, words = fps.flatten().to_numpy(), np.frombuffer(b"".join(x.as_py() for x in bits.flatten()), np.uint64).reshape(-1, CODE // 64)
-    for n in fps.value_lengths().to_pylist():
-        rows += similar_forest(values[at : at + n], words[at : at + n])
-        at += n
-        ends.append(len(rows))
-    u, v = zip(*rows) if rows else ((), ())
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]))
-
-
-def similar_edges(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Links (u, v) between fingerprints of similar texts. nodes: (fp, code, probes), fp unique. A bucket over crowd members is parted by its members' next probes."""
-    rows = nodes.select("fp", "code", "probes", F.posexplode("probes").alias("probe", "key")).select("fp", "code", "probe", F.col("key").cast("long").alias("key"), F.element_at("probes", F.pmod(F.col("probe") + 1, F.size("probes")) + 1).alias("next"))
-    large = cut(rows.groupBy("probe", "key").count().where(F.col("count") > crowd).select("probe", "key"))
-    if not large.isEmpty():
-        parted = rows.join(large, ["probe", "key"], "left_semi").withColumn("key", F.xxhash64("key", "next"))
-        rows = rows.join(large, ["probe", "key"], "left_anti").unionByName(parted)
-    buckets = rows.groupBy("probe", "key").agg(F.collect_list(F.struct("fp", "code")).alias("m")).where(F.size("m") > 1)
-    return buckets.select(F.explode(similar_forests(F.col("m")["fp"], F.col("m")["code"])).alias("e")).select("e.u", "e.v").distinct()
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of texts' hashes that are similar, with their fingerprints (x, y)."""
+    side = lambda t, fp, code: nodes.select(F.col("t").alias(t), F.col("fp").alias(fp), F.col("code").alias(code))
+    near = cut(pairs.join(side("u", "x", "cu"), "u").join(side("v", "y", "cv"), "v").where(may_be_similar("cu", "cv")).select("u", "v", "x", "y"))
+    wanted = near.select(F.explode(F.array("u", "v")).alias("t")).distinct()
+    own = cut(texts.join(wanted, "t", "left_semi").dropDuplicates(["t"]))
+    both = near.join(own.select(F.col("t").alias("v"), F.col("text").alias("b")), "v").join(own.select(F.col("t").alias("u"), F.col("text").alias("a")), "u")
+    return cut(both.where(similar("a", "b")).select("u", "v", "x", "y"))
+
+
+def similar_edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Links (u, v) between fingerprints that connect all that similar candidates do. nodes: (t, fp, code, probes), t a text's hash and unique; texts: (t, text)."""
+    rows = nodes.select("t", F.posexplode("probes")).select(F.xxhash64("pos", "col").alias("b"), "t")
+    shared = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+    live = cut(rows.join(shared.select("b"), "b", "left_semi").withColumn("root", F.col("t")))
+    nodes, pair = nodes.drop("probes"), [F.least("t", "c").alias("u"), F.greatest("t", "c").alias("v")]
+    tried = found = None
+    for turn in range(STARS + 1):
+        open_ = live.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("t", F.lit(turn)), F.col("t").alias("c"), F.col("root").alias("at"))).alias("centre"), F.count("*").alias("n")).where("low < high")
+        if turn < STARS:
+            pairs = live.join(open_.select("b", "centre.c", "centre.at"), "b").where("root != at").select(*pair)
+        else:
+            parts = live.join(open_.select("b", F.ceil(F.col("n") / crowd).cast("int").alias("parts")), "b").withColumn("p", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
+            blocks = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("b", "t", "root", "p", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+            other = blocks.select("b", "lo", "hi", F.col("t").alias("c"), F.col("root").alias("at"), F.col("p").alias("o"))
+            pairs = blocks.join(other, ["b", "lo", "hi"]).where("t < c and root != at and (lo = hi or p != o)").select(*pair)
+        pairs = pairs.distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        own = verified(pairs, nodes, texts)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = own if found is None else found.unionByName(own)
+        if turn < STARS:
+            roots = components(found.select("u", "v")).select(F.col("u").alias("t"), F.col("root").alias("r"))
+            live = cut(live.join(roots, "t", "left").select("b", "t", F.coalesce("r", "t").alias("root")))
+    if found is None:
+        return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
+    return found.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u != v").distinct()
 
 
 def _signed(mask: int) -> int:
@@ -302,13 +325,14 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, text: str | Column = "text"
     """doc_id, fp and component_id for each row of docs; similar: whether similar texts are linked as well."""
     column = F.col(text) if isinstance(text, str) else text
     if similar:
-        rows = cut(docs.select("doc_id", codes(column).alias("c")).select("doc_id", "c.*"))
+        rows = cut(docs.select("doc_id", F.xxhash64(column).alias("t"), codes(column).alias("c")).select("doc_id", "t", "c.*"))
     else:
         rows = cut(docs.select("doc_id", fingerprints(column).alias("fp")))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest"), *([F.min(F.struct("code", "probes")).alias("c")] if similar else [])))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("lowest")))
     links = edges(nodes.select("fp"), nodes.count(), tau)
     if similar:
-        links = links.unionByName(similar_edges(nodes.select("fp", "c.code", "c.probes")))
+        distinct = cut(rows.where(F.size("probes") > 0).select("t", "fp", "code", "probes").dropDuplicates(["t"]))
+        links = links.unionByName(similar_edges(distinct, docs.select(F.xxhash64(column).alias("t"), column.alias("text"))))
     roots = components(links).withColumnRenamed("u", "fp")
     joined = nodes.select("fp", "lowest").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))

@@ -127,3 +127,57 @@ def test_code_starts_with_the_fingerprint():
     for text in [b"", b"one", b"one two three four five six", b"x y z " * 500]:
         fp, code, probes = s.code_of(text)
         assert fp == s.fingerprint_of(text) and len(code) == s.CODE // 8 and len(probes) == (s.TABLES * 64 // s.WIDTH if text else 0)
+
+
+def shared_five(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def changed_pairs(seed, n, lowest, highest):
+    """Pairs of texts by turns with one block added, one block put in the place of another, and scattered words changed, alike by lowest to highest."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    out = []
+    while len(out) < n:
+        base = [word() for _ in range(rng.randint(120, 300))]
+        share, words = rng.uniform(0.02, 0.3), list(base)
+        if len(out) % 3 == 0:
+            words += [word() for _ in range(int(len(base) * share))]
+        elif len(out) % 3 == 1:
+            k = int(len(base) * share / 2)
+            words[:k] = [word() for _ in range(k)]
+        else:
+            for i in rng.sample(range(len(base)), int(len(base) * share / 5)):
+                words[i] = word()
+        a, b = " ".join(base), " ".join(words)
+        if lowest <= shared_five(a, b) < highest:
+            out.append((a, b))
+    return out
+
+
+def linked(spark, pairs):
+    docs = [(2 * i + k, text) for i, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    found = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similar=True).collect()}
+    return [found[2 * i] == found[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_block_and_word_changes_are_linked_from_four_fifths(spark):
+    near, far = changed_pairs(7, 240, 0.8, 0.9), changed_pairs(8, 120, 0.6, 0.78)
+    found = linked(spark, near + far)
+    print("linked", [sum(found[k : 240 : 3]) for k in range(3)], "of 80 each;", sum(found[240:]), "of 120 below")
+    assert sum(found[:240]) >= 239 and sum(found[240:]) == 0
+
+
+def chain(n, step):
+    """Texts in windows of the same words, each alike to the next only."""
+    words = [f"w{i}" for i in range(n * step + 200)]
+    return [" ".join(words[i * step : i * step + 200]) for i in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [50_000, 3])
+def test_chains_are_linked_whole(spark, crowd, monkeypatch):
+    monkeypatch.setattr(s.similar_edges, "__defaults__", (crowd,))
+    docs = [(i, t) for i, t in enumerate(chain(30, 18))] + [(100 + i, "far " + t) for i, t in enumerate(" ".join(f"x{k}" for k in range(j, j + 50)) for j in (0, 40))]
+    found = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similar=True).collect()}
+    assert all(found[i] == 0 for i in range(30)) and found[100] != found[101]
