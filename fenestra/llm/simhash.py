@@ -15,9 +15,9 @@ verified pair by pair inside but gives only a spanning forest of its links, so
 what leaves it grows with its members, not with their pairs. A bucket over
 ``BUCKET`` members is split by the pigeonhole again, over the bits that its key
 leaves open, up to ``LEVELS`` times; what agrees in so many bits and is still
-many is a dense cluster, of which a member reaches most others in one step, so
-that verifying it takes time by its members and not by their pairs. Large-star
-and small-star rounds join the forests to components.
+many is dealt into blocks of about ``BUCKET`` members, and each two blocks of it are
+verified together, so no task holds more than two blocks and no pair is left out.
+Large-star and small-star rounds join the forests to components.
 
 Three bits of 64 find copies with very few changes only. ``near_duplicates`` with
 ``similar`` also links texts of whose sets of five-word shingles 0.8 or more is
@@ -295,21 +295,29 @@ def keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
     return fps.select("fp", probe.alias("k")).select("k.probe", "k.key", "fp")
 
 
+def block_pairs(rows: DataFrame, large: DataFrame, bucket: int) -> DataFrame:
+    """rows of the large buckets (probe, key, count), dealt into blocks; every two blocks of a bucket are a bucket in turn, so every pair of members shares one."""
+    parts = rows.join(large.select("probe", "key", F.ceil(F.col("count") / bucket).cast("int").alias("parts")), ["probe", "key"])
+    own = parts.withColumn("p", F.pmod(F.xxhash64("fp", F.lit(SEED)), F.col("parts")).cast("int"))
+    both = own.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("p"))).alias("q"))
+    return both.select("probe", F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "fp")
+
+
 def edges(fps: DataFrame, total: int, tau: int = TAU, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) that connect the same fingerprints as all links do. fps: distinct, in column fp."""
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     masks = probes(chosen(sample, total, tau)) if len(sample) else [(1 << 64) - 1]
     rows, out, found = keyed(fps, masks), None, _forests(tau)
     for level in range(LEVELS + 1):
-        over = 0
-        if level < LEVELS:
-            large = cut(rows.groupBy("probe", "key").count().where(F.col("count") > bucket).select("probe", "key"))
-            over = large.count()
+        large = cut(rows.groupBy("probe", "key").count().where(F.col("count") > bucket))
+        over = large.count()
         fit = rows.join(large, ["probe", "key"], "left_anti") if over else rows
+        if over and level == LEVELS:
+            fit = fit.unionByName(block_pairs(rows, large, bucket))
         buckets = fit.groupBy("probe", "key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
         own = buckets.select(F.explode(found("fps")).alias("e")).select("e.u", "e.v")
         out = own if out is None else out.unionByName(own)
-        if not over:
+        if not over or level == LEVELS:
             break
         split_up = {r[0] for r in large.select("probe").distinct().collect()}  # of at most as many as there are masks
         finer = [(i, m) for i, mask in enumerate(masks) if i in split_up for m in narrowed(mask, tau)]

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from fenestra.llm import simhash as s
 from fenestra.operators.graph import components
@@ -181,3 +183,23 @@ def test_chains_are_linked_whole(spark, crowd, monkeypatch):
     docs = [(i, t) for i, t in enumerate(chain(30, 18))] + [(100 + i, "far " + t) for i, t in enumerate(" ".join(f"x{k}" for k in range(j, j + 50)) for j in (0, 40))]
     found = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), similar=True).collect()}
     assert all(found[i] == 0 for i in range(30)) and found[100] != found[101]
+
+
+def test_no_bucket_is_larger_than_two_blocks(spark, monkeypatch):
+    made, seen = s._forests, spark.sparkContext.accumulator(0)
+
+    def strict(tau):
+        found = made(tau).func
+
+        def bounded(buckets: pa.Array) -> pa.Array:
+            seen.add(sum(n > 60 for n in buckets.value_lengths().to_pylist()))
+            return found(buckets)
+
+        return F.arrow_udf(bounded, s.EDGE)
+
+    monkeypatch.setattr(s, "_forests", strict)
+    values = {0} | {1 << i | 1 << j for i in range(0, 64, 2) for j in range(0, 64, 3)}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    roots = {r.u: r.root for r in components(s.edges(df, df.count(), bucket=20)).collect()}
+    want = brute([v - (1 << 64) if v >> 63 else v for v in values])
+    assert {v: roots.get(v, v) for v in want} == want and seen.value == 0
