@@ -1,50 +1,54 @@
 """LM scoring: stupid-backoff scores, computed relationally.
 
-The relation of n-grams (document, place, n-gram) is kept in blocks of some
-million words. Each block gives its distinct n-grams with counts, cut by ranges
-of their hash; a range of all blocks together is one partition of the count
-table, where counts are summed. The table is joined back to the blocks' own
-n-grams by range, and block by block to the places they stand at, where scores
-are summed per document. A frequent n-gram is one entry of a block, so the work
-of a range grows with the number of distinct n-grams of the blocks, whatever
-their frequencies; the number of ranges grows with the corpus.
+Three relations: *grams* (document, place, length n, hash), the n-grams of 1 to
+``order`` words that end at each place, exploded from the texts; *counts* (n,
+hash, c), grouped by hash over the whole corpus, counted before the shuffle; and
+their join, which gives a place the counts of its n-grams. Per document the
+scores of all places are summed.
 
     S(w | c) = count(c w) / count(c)   if count(c w) >= prune
              = 0.4 S(w | c without its first word)   otherwise
 
-and count(w) / N without context. What is counted once in all the corpus is
-pruned, else every text would be its own evidence.
+and count(w) / N without context. The corpus that is scored is the corpus that
+is counted, so every n-gram occurs: what is there once only is the text's own,
+and no evidence. It is as good as unseen (``PRUNE``), else each text that is
+unlike all others would have probability 1.
+
+An n-gram that is seen has only seen n-grams inside, so the counts at a place
+are those of lengths 1 to m without a gap, and only m rows come out of the
+join; the context of the longest one is the n-gram of length m - 1 that ends a
+place earlier, the row before.
+
+Nothing is kept in memory for the corpus, no two scans are matched by order or
+partition, and a task that runs again in another order gives the same. A very
+common n-gram is a skewed key of the join, whose rows Spark splits
+(spark.sql.adaptive.skewJoin); its count is summed in each map task first.
 
 Defined results: null and empty texts have no words, score 0 and no mean. Rows
-that repeat count, and score, each. Blocks are cut from scan partitions, so a
-task that runs again gives the same blocks.
+that repeat count, and score, each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from fenestra.llm.common import WORD, table
+from fenestra.llm.common import WORD, table, text_or_empty
 
 #: Longest n-gram; count below which an n-gram is as good as unseen; factor for each word of context given up.
-ORDER, PRUNE, BACKOFF = 2, 2, 0.4
-#: Words of a block; n-grams of a range of the count table.
-BLOCK, RANGE = 2_000_000, 2_000_000
+ORDER, PRUNE, BACKOFF = 3, 2, 0.4
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the n-grams of 1, 2, ... words that end at each place; 0 where a text has not so many words before."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+def ngrams(words: np.ndarray, order: int) -> np.ndarray:
+    """order x words: hashes of the n-grams that end at each place; 0 where there are not so many words before."""
     out = [words]
     for n in range(2, order + 1):
         before = np.r_[np.uint64(0), out[-1][:-1]]
@@ -52,129 +56,65 @@ def ngrams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarra
         mixed ^= mixed >> np.uint64(29)
         mixed = mixed * B + np.uint64(n)
         mixed ^= mixed >> np.uint64(32)
-        out.append(np.where(place >= n - 1, mixed, np.uint64(0)))
-    return out
-
-
-def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
-    """Numbers byte by byte of their size, so that the upper bytes, mostly 0, compress; sorted ones as steps."""
-    steps = np.diff(values, prepend=values.dtype.type(0)) if sorted_ else values
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
-
-
-def unpack(data: bytes, kind, sorted_: bool = False) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(steps, dtype=kind) if sorted_ else steps
-
-
-def bounds(ranges: int) -> np.ndarray:
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-
-
-class Block:
-    """Texts of a block: ids, numbers of words, and words as numbers into a list of hashes."""
-
-    def __init__(self):
-        self.ids: list[int | None] = []
-        self.lengths: list[int] = []
-        self.known: dict[bytes, int] = {}
-        self.words: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        words, known = text.encode().split(), self.known
-        numbers = [known.setdefault(w, len(known)) for w in words]
-        self.ids.append(doc_id)
-        self.lengths.append(len(words))
-        self.words.append(np.array(numbers, np.uint32))
-        self.size += len(words)
-
-    def hashes(self) -> np.ndarray:
-        return np.array([xxh64_intdigest(w, 1) for w in self.known], np.uint64)
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]]:
-    number, block = TaskContext.get().partitionId() << 32, Block()
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0), batch.column(1)):
-            block.add(doc_id.as_py(), text.as_py() or "")
-            if block.size >= BLOCK:
-                yield number, block
-                number, block = number + 1, Block()
-    if block.ids:
-        yield number, block
-
-
-def _counted(order: int, ranges: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block in blocks(batches):
-            words = block.hashes()[np.concatenate(block.words)] if block.size else np.zeros(0, np.uint64)
-            grams, counts = np.unique(np.concatenate(ngrams(words, np.array(block.lengths), order)), return_counts=True)
-            ends = [0, *np.searchsorted(grams, bounds(ranges)).tolist(), len(grams)]
-            for k, (a, b) in enumerate(zip(ends, ends[1:])):
-                yield pa.RecordBatch.from_pydict({"block": [number], "part": [k], "grams": [pack(grams[a:b], True)], "counts": [pack(counts[a:b].astype(np.int32))]}, pa.schema([("block", pa.int64()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
-
-    return run
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for number, block in blocks(batches):
-        words = np.concatenate(block.words)
-        yield pa.RecordBatch.from_pydict(
-            {"block": [number], "ids": [block.ids], "lengths": [block.lengths], "hashes": [block.hashes().tobytes()], "words": [pack(words)]},
-            pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("hashes", pa.binary()), ("words", pa.binary())]),
-        )
-
-
-def _unpacked(column: pa.ChunkedArray, kind, sorted_: bool = False) -> list[np.ndarray]:
-    return [unpack(x.as_py(), kind, sorted_) for x in column]
-
-
-def _summed(own: pa.Table) -> pa.Table:
-    """A range of the count table: each block's n-grams get the counts of all blocks."""
-    grams, counts = _unpacked(own["grams"], np.uint64, True), _unpacked(own["counts"], np.int32)
-    _, at = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.bincount(at, np.concatenate(counts)).astype(np.int64)[at]
-    ends = np.cumsum([0, *map(len, grams)])
-    return pa.table({"block": own["block"], "part": own["part"], "totals": pa.array([pack(total[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())})
-
-
-def _scored(order: int, prune: int, factor: float, total: int):
-    def run(text: pa.Table, answers: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("n_backoff", pa.int64())])
-        if not text.num_rows:
-            return schema.empty_table()
-        lengths = np.array(text["lengths"][0].as_py(), np.int64)
-        words = np.frombuffer(text["hashes"][0].as_py(), np.uint64)[unpack(text["words"][0].as_py(), np.uint32)]
-        levels = ngrams(words, lengths, order)
-        _, at = np.unique(np.concatenate(levels), return_inverse=True)
-        answers = answers.sort_by("part")
-        totals = np.concatenate(_unpacked(answers["totals"], np.int64)) if answers.num_rows else np.zeros(0, np.int64)
-        counts = totals[at].reshape(order, len(words))
-        counts = np.where(np.stack(levels) != 0, counts, 0)
-        value = np.log(np.maximum(counts[0], 1) / max(1, total))
-        backed = np.zeros(len(words), np.int64)
-        for n in range(1, order):  # from two words on, the longer first choice replaces the shorter
-            has_context = levels[n] != 0
-            before = np.r_[np.int64(0), counts[n - 1][:-1]]
-            seen = has_context & (counts[n] >= prune)
-            value = np.where(seen, np.log(np.maximum(counts[n], 1) / np.maximum(before, 1)), np.where(has_context, value + np.log(factor), value))
-            backed = np.where(seen, 0, backed + has_context)
-        of = np.repeat(np.arange(len(lengths)), lengths)
-        return pa.table({"doc_id": text["ids"][0].values, "n_words": lengths, "score": np.bincount(of, value, len(lengths)), "n_backoff": np.bincount(of, backed > 0, len(lengths)).astype(np.int64)}, schema)
-
-    return run
+        mixed[: n - 1] = 0
+        out.append(mixed)
+    return np.concatenate(out)
+
+
+def hashed(order: int):
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def hashes(texts: pa.Array) -> pa.Array:
+        known: dict[bytes, int] = {}
+        rows = []
+        for x in texts:
+            words = (x.as_py() or "").encode().split()
+            for w in words:
+                if w not in known:
+                    known[w] = xxh64_intdigest(w, 1)
+            rows.append(ngrams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), order))
+        ends = np.cumsum([0, *map(len, rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64), pa.int64()))
+
+    return hashes
+
+
+def grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """(doc_id, t, place, n, h): a row for each n-gram of each text; t is a hash of the text."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), hashed(order)(text_or_empty("text")).alias("hs"))
+    flat = rows.select("doc_id", "t", (F.size("hs") / order).cast("int").alias("size"), F.posexplode("hs").alias("at", "h"))
+    numbered = flat.select("doc_id", "t", F.pmod("at", "size").alias("place"), (F.floor(F.col("at") / F.col("size")) + 1).cast("int").alias("n"), "h")
+    return numbered.where("place >= n - 1")
+
+
+def counts(rows: DataFrame, prune: int = PRUNE) -> DataFrame:
+    """(n, h, c): how often each n-gram is there; single words all, longer ones from ``prune`` on."""
+    return rows.groupBy("n", "h").agg(F.count("*").alias("c")).where((F.col("n") == 1) | (F.col("c") >= prune))
 
 
 def scores(docs: DataFrame, order: int = ORDER, prune: int = PRUNE, factor: float = BACKOFF) -> DataFrame:
     """doc_id, n_words, score (sum of ln S) and n_backoff (words for which context was given up) of each row of docs (doc_id, text)."""
-    rows = docs.select("doc_id", "text")
-    total = rows.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
-    ranges = total * order // RANGE + 1
-    grams = rows.mapInArrow(_counted(order, ranges), "block long, part int, grams binary, counts binary")
-    answers = grams.groupBy("part").applyInArrow(_summed, "block long, part int, totals binary")
-    texts = rows.mapInArrow(_texts, "block long, ids array<long>, lengths array<int>, hashes binary, words binary")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, prune, factor, total), "doc_id long, n_words long, score double, n_backoff long")
+    docs = docs.select("doc_id", "text")
+    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    total = docs.agg(F.sum(n_words)).first()[0] or 0
+    rows = grams(docs, order)
+    seen = rows.join(counts(rows, prune), ["n", "h"]).repartition("doc_id", "t")
+    # Rows that repeat have each n-gram twice, with the same counts.
+    levels = [F.max(F.when(F.col("n") == k, F.col("c"))).alias(f"c{k}") for k in range(1, order + 1)]
+    places = seen.groupBy("doc_id", "t", "place").agg(*levels)
+    before = Window.partitionBy("doc_id", "t").orderBy("place")
+    value, used = F.log(F.col("c1") / F.lit(float(max(1, total)))), F.lit(1)
+    for k in range(2, order + 1):
+        longer = F.col(f"c{k}").isNotNull()
+        value = F.when(longer, F.log(F.col(f"c{k}") / F.col(f"b{k - 1}"))).otherwise(value)
+        used = F.when(longer, k).otherwise(used)
+    contexts = places.withColumns({f"b{k}": F.lag(f"c{k}").over(before) for k in range(1, order)})
+    given_up = F.least(F.col("place") + 1, F.lit(order)) - used
+    judged = contexts.select("doc_id", "t", (value + given_up * F.lit(float(np.log(factor)))).alias("s"), (given_up > 0).cast("long").alias("back"))
+    summed = judged.groupBy("doc_id", "t").agg(F.sum("s").alias("score"), F.sum("back").alias("n_backoff"))
+    named = summed.select(F.col("doc_id").alias("_doc_id"), F.col("t").alias("_t"), "score", "n_backoff")
+    own = docs.select("doc_id", F.xxhash64("text").alias("t"), n_words.alias("n_words"))
+    joined = own.join(named, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t") == F.col("_t")), "left")
+    return joined.select("doc_id", "n_words", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_backoff", F.lit(0)).alias("n_backoff"))
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,15 +122,25 @@ def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 6)).alias("mean_score"), "n_backoff")
 
 
-OP4_SQL = r"""
+def _sql(order: int = ORDER, prune: int = PRUNE, factor: float = BACKOFF) -> str:
+    """The same in SQL, with the words of an n-gram themselves as its key."""
+    ks = range(1, order + 1)
+    gram = lambda k: f"CASE WHEN i >= {k} THEN ws[i - {k - 1}:i] END AS g{k}"
+    tables = ",\n".join(f"c{k} AS (SELECT g{k}, count(*) AS c FROM p WHERE g{k} IS NOT NULL GROUP BY g{k} HAVING count(*) >= {prune if k > 1 else 1})" for k in ks)
+    joins = " ".join(f"LEFT JOIN c{k} ON p.g{k} = c{k}.g{k}" for k in ks)
+    lags = ", ".join(f"lag(n{k}) OVER w AS b{k}" for k in range(1, order)) or "0 AS b0"
+    value = reduce(lambda rest, k: f"CASE WHEN n{k} IS NOT NULL THEN ln(n{k} / b{k - 1}) - {k} * ln({factor}) ELSE {rest} END", range(2, order + 1), f"ln(n1 / (SELECT count(*) FROM p)) - ln({factor})")
+    used = reduce(lambda rest, k: f"CASE WHEN n{k} IS NOT NULL THEN {k} ELSE {rest} END", range(2, order + 1), "1")
+    return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-p AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM d, unnest(range(1, len(ws) + 1)) t(i)),
-u AS (SELECT w, count(*) AS c FROM p GROUP BY w),
-b AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w),
-s AS (SELECT p.doc_id, p.v IS NOT NULL AND b.c < 2 AS back,
-        CASE WHEN p.v IS NULL THEN ln(u.c / n.n) WHEN b.c >= 2 THEN ln(b.c / x.c) ELSE ln(u.c / n.n) + ln(0.4) END AS s
-      FROM p JOIN u ON p.w = u.w LEFT JOIN b ON p.v = b.v AND p.w = b.w LEFT JOIN u x ON p.v = x.w, (SELECT count(*) AS n FROM p) n),
-g AS (SELECT doc_id, sum(s) AS score, count(*) FILTER (back) AS n_backoff FROM s GROUP BY doc_id)
+p AS (SELECT doc_id, i, {", ".join(map(gram, ks))} FROM d, unnest(range(1, len(ws) + 1)) t(i)),
+{tables},
+j AS (SELECT doc_id, i, {", ".join(f"c{k}.c AS n{k}" for k in ks)} FROM p {joins}),
+l AS (SELECT *, {lags} FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, sum({value} + least(i, {order}) * ln({factor})) AS score, count(*) FILTER (least(i, {order}) > {used}) AS n_backoff FROM l GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS score, CASE WHEN len(ws) > 0 THEN round(score / len(ws), 6) END AS mean_score, coalesce(n_backoff, 0)::BIGINT AS n_backoff
 FROM d LEFT JOIN g USING (doc_id)
 """
+
+
+OP4_SQL = _sql()

@@ -1,6 +1,8 @@
 """Operators that SQL can express, against DuckDB."""
 
 import math
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -40,9 +42,27 @@ def test_repeat_words():
     assert lines.repeat_words("a b c d e f".split()) == 0
 
 
-def test_blocks_do_not_change_scores(spark, sf, monkeypatch):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for order in (1, 2, 3):
-        whole = {r.doc_id: (r.n_words, round(r.score, 6), r.n_backoff) for r in backoff.scores(docs, order).collect()}
-        split = {r.doc_id: (r.n_words, round(r.score, 6), r.n_backoff) for r in backoff.scores(docs.repartition(3), order).collect()}
-        assert whole == split
+def brute_scores(texts, order, prune=2, factor=0.4):
+    words = [(x or "").encode().split() for x in texts]
+    c = Counter(tuple(w[i : i + n]) for w in words for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(map(len, words))
+    for w in words:
+        score = back = 0
+        for i in range(len(w)):
+            top = n = min(i + 1, order)
+            while n > 1 and c[tuple(w[i - n + 1 : i + 1])] < prune:
+                n -= 1
+            gram = tuple(w[i - n + 1 : i + 1])
+            score += math.log(c[gram] / (c[gram[:-1]] if n > 1 else total)) + (top - n) * math.log(factor)
+            back += n < top
+        yield len(w), score, back
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_scores_against_brute_force(spark, order):
+    rng = random.Random(order)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "a b c d e f g", "a b c d e f g", "only once"]
+    docs = spark.createDataFrame([(i if i != 3 else None, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    want = sorted((n, round(s, 6), b) for n, s, b in brute_scores(texts, order))
+    for df in (docs, docs.repartition(7).orderBy("text")):
+        assert sorted((r.n_words, round(r.score, 6), r.n_backoff) for r in backoff.scores(df, order).collect()) == want
