@@ -8,7 +8,7 @@ cut, which grows until the tokens outside it provably cannot change:
   character is followed by white space. No pre-token contains such a pair, and
   where a pre-token starts depends only on what follows, so both sides of a
   hard boundary are split, and encoded, alone;
-* inside one over-long pre-token, halves of its bytes are encoded, and the
+* inside one over-long pre-token of characters that all libraries class alike, halves of its bytes are encoded, and the
   window of tokens around the cut is encoded anew. A token sequence is the
   encoding of its bytes exactly if each adjacent pair is the encoding of that
   pair's bytes, so it is enough that the pairs at both ends of the window hold;
@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from fenestra.llm.common import table, text_or_empty
 
 #: Characters of a leaf; bytes of a leaf inside one pre-token; tokens of the first window there.
-LEAF, PIECE, WINDOW = 2048, 256, 4
+LEAF, PIECE, WINDOW = 512, 256, 4
 #: Tokens of a leaf in decoding.
 DECODE_LEAF = 8192
 #: A vocabulary file is broadcast; it may not be larger.
@@ -53,6 +53,8 @@ class TreeBPE:
         table_ = {base64.b64decode(token): int(rank) for token, rank in pairs}
         self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table_, special_tokens={})._core_bpe
         self.pre_token = regex.compile(pattern)
+        # Libraries differ in which letters and numbers they know; of these characters all say the same.
+        self.plain = regex.compile("[\\t\\n\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*+")
         # Both characters are read alike by every regex library.
         self.hard = regex.compile(r"[!-~\p{L}][ \n\t]")
         self.hard_back = regex.compile(r"(?r)[!-~\p{L}][ \n\t]")
@@ -92,8 +94,8 @@ class TreeBPE:
             width *= 2
 
     def _span(self, text: str) -> list[int]:
-        """A span between boundaries; a long one is one with hardly any white space."""
-        if len(text) <= self.leaf:
+        """A span between boundaries; a long one is one with hardly any white space. The library splits it, unless it is long and there is no doubt where."""
+        if len(text) <= self.leaf or not self.plain.fullmatch(text):
             return self.core.encode_ordinary(text)
         return [i for m in self.pre_token.finditer(text) for i in self.encode_piece(m[0].encode())]
 

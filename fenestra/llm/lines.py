@@ -1,19 +1,21 @@
 """Quality rules: cross-document line frequency.
 
 Lines are normalised (lower case, runs of white space as one space) and hashed
-together with their host. Per host, the *distinct documents* of a line are
-counted: exact copies of a text are one document, so that a text is not judged
-by how often it was copied. Lines of more than ``LIMIT`` documents of a host are
-removed; a document of whose words, each distinct line counted once, fewer than
-``LEFT`` remain, or fewer than ``LEFT_WORDS`` words in all, is depleted and
-rejected. Base rules on each text come first.
-
-Only hashes and counts are shuffled. The count of a line is aggregated before
-the shuffle; what is joined back are the lines above the limit, by line, where
-a line of very many documents is a skewed join that Spark splits.
+together with their host. Per host, the distinct documents of a line are
+counted. Lines of more than ``LIMIT`` documents of a host are removed; a
+document of whose words fewer than ``LEFT`` remain, or that lost some and has
+fewer than ``LEFT_WORDS``, is depleted and rejected. Base rules on each text
+come first. ``cleaned`` gives the documents kept, without the lines removed.
+
+A document is its doc_id with its text: copies under other ids are documents of
+their own, rows that repeat are one. Only hashes and counts are shuffled. The
+count of a line is aggregated before the shuffle; what is joined back are the
+lines above the limit, by line, where a line of very many documents is a skewed
+join that Spark splits.
 
 Defined results: null text has no words, and fails the base rules; a null host
-is a host. Rows that repeat get the same result each.
+is a host; rows without doc_id are one document for each text. Rows that repeat
+get the same result each.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,37 +62,70 @@ def base(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], BASE.names)
 
 
+def normalised(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+
+
+def hashed(*columns: Column) -> Column:
+    """A hash that tells null from nothing."""
+    return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))
+
+
+def hash_of(host: Column, line: Column) -> Column:
+    """line: normalised."""
+    return F.xxhash64(host.isNull(), host, line)
+
+
+def document() -> Column:
+    return hashed(F.col("doc_id"), F.col("source"), F.col("text"))
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(document, line, words): hashes of each text with its host and of its distinct lines."""
-    text = text_or_empty("text")
-    parts = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " ")))
-    distinct = F.array_distinct(F.filter(parts, lambda x: x != ""))
+    """(document, line, words): a hash of each document and of each of its lines with words, and the words of all such lines in it."""
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    hashed = F.transform(distinct, lambda x: F.struct(F.xxhash64(F.col("source"), x).alias("line"), words(x).alias("words")))
-    rows = docs.select(F.xxhash64("source", "text").alias("document"), "source", F.explode(hashed).alias("l"))
-    return rows.groupBy("document", "l.line").agg(F.max("l.words").alias("words"))
+    some = F.filter(F.transform(F.split(text_or_empty("text"), "\n"), normalised), lambda x: x != "")
+    lines = F.transform(some, lambda x: F.struct(hash_of(F.col("source"), x).alias("line"), words(x).alias("words")))
+    rows = docs.select(document().alias("document"), F.explode(lines).alias("l"))
+    return rows.groupBy("document", "l.line").agg(F.sum("l.words").alias("words"))
+
+
+def common(lines: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Lines of more than ``limit`` documents of a host."""
+    return lines.groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
 
 
 def verdicts(docs: DataFrame, limit: int = LIMIT, left: float = LEFT, left_words: int = LEFT_WORDS) -> DataFrame:
-    """(document, words, left, depleted) of each distinct text and host that has words."""
+    """(document, words, left, depleted, removed) of each document that has words; removed: the lines to remove."""
     lines = cut(line_table(docs))
-    common = lines.groupBy("line").agg(F.count("*").alias("documents")).where(F.col("documents") > limit)
-    marked = lines.join(common, "line", "left")
-    sums = marked.groupBy("document").agg(F.sum("words").alias("words"), F.sum(F.when(F.col("documents").isNull(), F.col("words")).otherwise(0)).alias("left"))
+    marked = lines.join(common(lines, limit), "line", "left")
+    over = F.col("documents").isNotNull()
+    sums = marked.groupBy("document").agg(F.sum("words").alias("words"), F.sum(F.when(~over, F.col("words")).otherwise(0)).alias("left"), F.collect_list(F.when(over, F.col("line"))).alias("removed"))
     return sums.withColumn("depleted", (F.col("left") < F.lit(left) * F.col("words")) | ((F.col("left") < left_words) & (F.col("left") < F.col("words"))))
 
 
 def judged(docs: DataFrame, limit: int = LIMIT, left: float = LEFT, left_words: int = LEFT_WORDS) -> DataFrame:
     """doc_id, the base counts, base_failed, words left, and kept, for each row of docs (doc_id, text, source)."""
-    docs = docs.select("doc_id", "text", "source")
-    marked = docs.withColumn("document", F.xxhash64("source", "text")).withColumn("base", base(text_or_empty("text"))).drop("text")
+    marked = docs.select("doc_id", document().alias("document"), base(text_or_empty("text")).alias("base"))
     flat = marked.select("*", "base.*").drop("base")
     n = F.col("n_words")
     failed = flat.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n))
-    full = failed.join(verdicts(docs, limit, left, left_words), "document", "left")
+    full = failed.join(verdicts(docs, limit, left, left_words).drop("removed"), "document", "left")
     return full.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).drop("document")
 
 
+def cleaned(docs: DataFrame, limit: int = LIMIT, left: float = LEFT, left_words: int = LEFT_WORDS) -> DataFrame:
+    """The rows of docs that are kept, their texts without the lines removed; all else as it is, but for n_chars, where it is there."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    whole = docs.select(row, document().alias("document"), base(text_or_empty("text")).alias("base"))
+    n = F.col("base.n_words")
+    fit = whole.where((n >= MIN_WORDS) & (100 * F.col("base.n_repeat_words") <= MAX_REPEAT_PERCENT * n)).drop("base")
+    full = fit.join(verdicts(docs, limit, left, left_words).where("not depleted").select("document", "removed"), "document")
+    rest = F.filter(F.split("_row.text", "\n"), lambda x: (normalised(x) == "") | ~F.array_contains("removed", hash_of(F.col("_row.source"), normalised(x))))
+    text = F.when(F.size("removed") > 0, F.array_join(rest, "\n")).otherwise(F.col("_row.text"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return full.select(*((new[c] if c in new else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns))
+
+
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -104,14 +139,15 @@ win AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS g FROM w, unnest(ra
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM rep, unnest(range(0, 5)) u(o) GROUP BY doc_id),
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT l))::BIGINT AS n_dup_lines FROM (SELECT doc_id, unnest(ls) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-nl AS (SELECT DISTINCT source, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM (SELECT source, text, unnest(ls) AS l FROM w)),
-ll AS (SELECT *, length(l) - length(replace(l, ' ', '')) + 1 AS words, count(*) OVER (PARTITION BY source, l) AS n FROM nl WHERE l <> ''),
-v AS (SELECT source, text, sum(words)::BIGINT AS words, sum(CASE WHEN n <= 20 THEN words ELSE 0 END)::BIGINT AS rest FROM ll GROUP BY ALL),
+nl AS (SELECT doc_id, source, text, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS l FROM (SELECT doc_id, source, text, unnest(ls) AS l FROM w)),
+ll AS (SELECT doc_id, source, text, l, sum(length(l) - length(replace(l, ' ', '')) + 1) AS words FROM nl WHERE l <> '' GROUP BY ALL),
+lc AS (SELECT *, count(*) OVER (PARTITION BY source, l) AS n FROM ll),
+v AS (SELECT doc_id, source, text, sum(words)::BIGINT AS words, sum(CASE WHEN n <= 20 THEN words ELSE 0 END)::BIGINT AS rest FROM lc GROUP BY ALL),
 b AS (SELECT w.doc_id, w.source, w.text, len(ws)::BIGINT AS n_words, coalesce(length(array_to_string(ws, '')), 0)::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN dup USING (doc_id)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(rest < 0.2 * words OR (rest < 5 AND rest < words), false) AS kept, coalesce(rest, 0)::BIGINT AS words_left
-FROM f LEFT JOIN v ON f.source IS NOT DISTINCT FROM v.source AND f.text = v.text
+FROM f LEFT JOIN v USING (doc_id)
 """

@@ -2,12 +2,13 @@
 
 Offline, on the driver, each vocabulary string is put through the merges; those
 that end as one token are *whole*. A pre-token that is a whole string counts as
-one token without any merging; only the rest are merged, each distinct one once
-while it stays in a bounded memo.
+one token without any merging; only the rest are merged, by the model of the
+file, each distinct one once while it stays in a bounded memo.
 
-That every string of the vocabulary is whole also proves that merging any
-neighbours whose union has the lowest id gives what the merge list gives, which
-is how the rest are merged; a vocabulary for which this fails is refused.
+Texts are split as the file says, by its own pre-tokeniser. A file is refused
+if it has what isn't handled here: another model than BPE or another split than
+that into bytes, a normaliser, dropout, marks in or behind words, bytes as a
+fallback, or added tokens that take blanks or whole words only.
 
 Special strings in a text count as one token each, as the library does by
 default, and split the text around them. Null and empty texts have no tokens;
@@ -22,26 +23,19 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from fenestra.llm.bpe import read_vocabulary
 from fenestra.llm.common import table, text_or_empty
 
-#: Fixed value: the pattern of the byte-level pre-tokeniser.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens of a Python worker that are remembered.
 MEMO = 200_000
 LIMIT = 1024
-
-
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the file: itself if it is visible, else the next one from 256 on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in {*visible}]
-    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+#: What a model may not have set.
+UNHANDLED = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
 
 
 def merged(symbols: list[str], order: dict[tuple[str, str], int]) -> list[str]:
@@ -62,38 +56,32 @@ def merged(symbols: list[str], order: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
-def prove(vocabulary: bytes) -> tuple[dict[bytes, int], list[str], list[str]]:
-    """(token bytes and ids, whole strings that are text, special strings) of a tokenizers file."""
+def prove(vocabulary: bytes) -> tuple[list[str], list[str]]:
+    """(whole strings, special strings) of a tokenizers file; a whole string is written in the letters that stand for bytes."""
     file = json.loads(vocabulary)
-    model, letters = file["model"], byte_letters()
-    special = [x["content"] for x in file["added_tokens"]]
+    model = file["model"]
+    wrong = [k for k in UNHANDLED if model.get(k)] + [k for x in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip") if x[k]]
+    if file["normalizer"] is not None:
+        wrong.append("normalizer")
+    if model["type"] != "BPE" or (file["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+        wrong.append("model or pre_tokenizer")
+    if wrong:
+        raise ValueError(f"not handled: {wrong}")
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     order = {pair: i for i, pair in enumerate(pairs)}
-    ids = {t: i for t, i in model["vocab"].items() if t not in special}
-    made = [ids[a + b] for a, b in pairs]
-    unproved = [t for t in ids if merged([*t], order) != [t]]
-    if made != sorted(made) or unproved:
-        raise ValueError(f"ids don't follow the merges, or strings don't encode alone: {unproved[:5]}")
-    tokens = {bytes(letters[c] for c in t): i for t, i in ids.items()}
-    whole = []
-    for t in tokens:
-        try:
-            whole.append(t.decode())
-        except UnicodeDecodeError:
-            pass  # part of a character: never a whole pre-token
-    return tokens, whole, special
+    special = [x["content"] for x in file["added_tokens"]]
+    return [t for t in model["vocab"] if t not in special and merged([*t], order) == [t]], special
 
 
 class Rest(dict):
     """Numbers of tokens by pre-token: whole ones are there from the start, others are merged when first seen."""
 
-    def __init__(self, tokens: dict[bytes, int], whole: list[str]):
+    def __init__(self, model, whole: list[str]):
         super().__init__(dict.fromkeys(whole, 1))
-        self.room = len(self) + MEMO
-        self.merge = tiktoken.Encoding("rest", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={})._core_bpe.encode_single_piece
+        self.room, self.merge = len(self) + MEMO, model.tokenize
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.merge(piece.encode()))
+        n = len(self.merge(piece))
         if len(self) < self.room:
             self[piece] = n
         return n
@@ -101,22 +89,22 @@ class Rest(dict):
 
 @lru_cache(2)
 def _counter(proof: bytes):
-    tokens, whole, special = json.loads(proof)
-    rest = Rest({bytes.fromhex(t): i for t, i in tokens.items()}, whole)
-    pieces = regex.compile(PATTERN).findall
+    vocabulary, whole, special = json.loads(proof)
+    library = Tokenizer.from_str(vocabulary)
+    rest, pieces = Rest(library.model, whole), library.pre_tokenizer.pre_tokenize_str
     split = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))).split if special else lambda t: [t]
 
     def count(text: str) -> int:
         parts = split(text)
-        return len(parts) - 1 + sum(sum(map(rest.__getitem__, pieces(part))) for part in parts)
+        return len(parts) - 1 + sum(rest[piece] for part in parts if part for piece, _ in pieces(part))
 
     return count
 
 
 @lru_cache(4)
 def _proof(path: str) -> bytes:
-    tokens, whole, special = prove(read_vocabulary(path))
-    return json.dumps([{t.hex(): i for t, i in tokens.items()}, whole, special]).encode()
+    vocabulary = read_vocabulary(path)
+    return json.dumps([vocabulary.decode(), *prove(vocabulary)]).encode()
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:

@@ -39,10 +39,11 @@ def record(url: Column, html: Column, ident: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def archive(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) as records, end to end in volumes of neighbouring ids."""
+def archive(pages: DataFrame, *more: Column) -> DataFrame:
+    """pages (page_id, url, html) as records, end to end in volumes of neighbouring ids; more: columns of each page to keep beside its record."""
     written = record(F.col("url"), F.col("html"), F.col("page_id"))
-    rows = pages.select(F.floor(F.col("page_id") / VOLUME).alias("volume"), F.col("page_id").alias("record_id"), F.octet_length(written).cast("long").alias("length"), F.sha2(written, 256).alias("digest"))
+    own = [F.floor(F.col("page_id") / VOLUME).alias("volume"), F.col("page_id").alias("record_id"), F.octet_length(written).cast("long").alias("length"), F.sha2(written, 256).alias("digest")]
+    rows = pages.select(*own, *more)
     before = Window.partitionBy("volume").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
@@ -93,12 +94,11 @@ def audit(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataF
 def op6_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of pages against a replica that lost records, and had letters changed in others, by a rule on the hash of their ids."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    primary = cut(archive(pages))
-    fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1)
-    damaged = pages.withColumn("html", F.when(fate == "0", F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
-    rotten = damaged.select(F.col("page_id").alias("_id"), F.sha2(record(F.col("url"), F.col("html"), F.col("page_id")), 256).alias("_digest"), fate.alias("_fate")).where("_fate in ('0', 'f')")
-    replica = primary.join(rotten, primary["record_id"] == F.col("_id"), "left").where("_fate is null or _fate <> 'f'").withColumn("digest", F.coalesce("_digest", "digest")).drop("_id", "_digest", "_fate")
-    return audit(primary, cut(replica))
+    fate = F.coalesce(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 1), F.lit(""))
+    changed = record(F.col("url"), F.concat(F.lit("~"), F.substring("html", 2, 1 << 30)), F.col("page_id"))
+    both = cut(archive(pages, fate.alias("_fate"), F.when(fate == "0", F.sha2(changed, 256)).alias("_changed")))
+    replica = both.where("_fate <> 'f'").withColumn("digest", F.coalesce("_changed", "digest")).drop("_fate", "_changed")
+    return audit(both.drop("_fate", "_changed"), replica)
 
 
 OP6_SQL = r"""

@@ -54,6 +54,39 @@ def test_whole_tokens_and_counts(spark, sf):
         assert count(text) == len(library.encode(text, add_special_tokens=False).ids)
 
 
+POINTS = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+
+
+def agree(text, count, library):
+    return TINY.encode(text) == LIBRARY.encode_ordinary(text) and count(text) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_all_code_points_and_random_texts():
+    from tokenizers import Tokenizer
+
+    library, count, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), tokens._counter(tokens._proof(P.path("byte_bpe_50k.json"))), random.Random(1)
+    for i in range(0, len(POINTS), 40):
+        text = "".join(c + rng.choice(["a", "", " ", "1"]) for c in POINTS[i : i + 40])
+        assert agree(text, count, library), i
+    usual = [*"abtheing'sdl 12!\n\t\u00e9\u5b57\u3000\u0085\U0001d7ce\u1c90"]
+    for i in range(10000):
+        text = "".join(rng.choice(rng.choice([usual, POINTS])) for _ in range(rng.randint(0, rng.choice([5, 40, 400]))))
+        assert agree(text, count, library), text
+    whole = bpe.TreeBPE(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    for i in range(40):  # long ones without hard boundaries
+        text = "".join(rng.choice(rng.choice([usual[:15], POINTS])) for _ in range(6000)).translate({32: None, 9: None, 10: None})
+        assert whole.encode(text) == LIBRARY.encode_ordinary(text)
+
+
+def test_unhandled_files_are_refused():
+    import json
+
+    file = json.loads(open(P.path("byte_bpe_50k.json")).read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{**file["added_tokens"][0], "lstrip": True}]}, {"model": {**file["model"], "byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            tokens.prove(json.dumps({**file, **change}).encode())
+
+
 def test_vocabulary_limit(tmp_path, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCABULARY_BYTES", 3)
     (tmp_path / "v").write_bytes(b"12345")

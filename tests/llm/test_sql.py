@@ -29,11 +29,18 @@ def test_against_sql(spark, sf, name):
 
 def test_common_lines_deplete(spark):
     shared = "one line that every page of this host repeats word for word"
-    docs = [(i, f"{shared}\nshort {i}", "h") for i in range(40)] + [(100 + i, f"{shared}\n" + " ".join(f"own{i}{k}" for k in range(30)), "h") for i in range(3)]
+    docs = [(i, f"{shared}\nshort {i}", "h") for i in range(40)] + [(100 + i, f"{shared}\n\n" + " ".join(f"own{i}{k}" for k in range(30)) + f"\n{shared.upper()}", "h") for i in range(3)]
     docs += [(200 + i, shared + " elsewhere", "other") for i in range(5)] + [(300 + i, "the same text over and over in all of its many copies", "h") for i in range(50)]
-    got = {r.doc_id: r for r in lines.judged(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    docs += [(400, None, "x"), (401, "x", None), (None, shared + " and ten words of its own that nobody else has", None), (300, docs[48][1], "h")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in lines.judged(df).collect()}
     assert not any(got[i].kept for i in range(40)) and all(got[100 + i].kept for i in range(3))
-    assert all(got[200 + i].kept for i in range(5)) and all(got[300 + i].kept for i in range(50))
+    assert all(got[200 + i].kept for i in range(5)) and not any(got[300 + i].kept for i in range(50))
+    assert got[400].left is None and got[401].left == 1 and got[None].kept
+    clean = {r.doc_id: r.text for r in lines.cleaned(df).collect()}
+    assert sorted(clean, key=str) == sorted((i for i in got if got[i].kept), key=str)
+    assert clean[100] == "\n" + " ".join(f"own0{k}" for k in range(30)) and clean[200] == docs[43][1]
+    assert all(len(clean[i].split()) == got[i].left for i in clean)
 
 
 def test_repeat_words():
