@@ -1,6 +1,12 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+
+import pytest
+import regex
+from pyspark.sql import functions as F
 
 from fenestra.llm import pii
 
@@ -37,6 +43,54 @@ def test_base_spans_against_brute_force(spark, sf, tmp_path):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[3] == k for s in spans) for k in PATTERNS]
 
 
+WORDS = regex.compile(r"\p{L}[\p{L}\p{N}]*+")
+
+
+def brute_terms(texts, support=3, limit=0.8):
+    """Spans of disclosing terms of each text."""
+    whole = {x: ({(k, x[a:b].lower()) for a, _, b, k in base(x)}, {w.lower() for w in WORDS.findall(x)}) for x in {t or "" for t in texts}}
+    n, c_e, c_t, c_et = len(whole), Counter(), Counter(), Counter()
+    for entities, words in whole.values():
+        c_e.update(entities)
+        c_t.update(words)
+        c_et.update((e, w) for e in entities for w in words)
+    strong = {(e, w): math.log2(n * c / (c_e[e] * c_t[w])) / math.log2(n / c_e[e]) for (e, w), c in c_et.items() if c >= support and c_e[e] < n}
+    out = []
+    for x in (t or "" for t in texts):
+        spans, hidden = base(x), {}
+        for (e, w), d in strong.items():
+            if e in whole[x][0] and d >= limit:
+                hidden[w] = max(d, hidden.get(w, 0))
+        out.append([(m.start(), m.end(), round(hidden[m[0].lower()], 9)) for m in WORDS.finditer(x) if m[0].lower() in hidden and not any(m.start() < b and a < m.end() for a, _, b, _ in spans)])
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_disclosing_terms_by_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST", broadcast)
+    rng = random.Random(8)
+    people = [("Kim", "kim@a.org"), ("Ann Lee", "+1 (234) 567-8901"), ("\u738b\u82b3", "10.0.0.7"), ("Zebulon", "4111 1111 1111 1111")]
+    texts = [None, "", "same text of a@b.c", "same text of a@b.c"]
+    for i in range(400):
+        words = [rng.choice(["the", "of", "report", "notes", "Kim", "weather", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(3, 90))]
+        if rng.random() < 0.25:
+            name, value = rng.choice(people)
+            words.insert(0, name)
+            words.insert(rng.randint(0, len(words)), value)
+        texts.append(" ".join(words))
+    texts += texts[10:40]
+    df = spark.createDataFrame([(i if i % 9 else None, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    want = sorted(map(repr, brute_terms(texts)))
+    got = sorted(repr([(t["start"], t["end"], round(t["disclosure"], 9)) for t in r.terms]) for r in pii.spanned(df).collect())
+    assert got == want and sum(x != "[]" for x in want) > 30
+
+
+def test_many_matches_in_a_text(spark):
+    text = " ".join(f"a{i}@b.c 1.2.3.{i % 300}" for i in range(3000)) + " end"
+    r = pii.spanned(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s["start"], s["end"]) for s in r.spans] == [(a, b) for a, _, b, _ in base(text)]
+
+
 def test_disclosing_terms(spark):
     docs = [(i, f"Contact Zebulon about report{i} at zeb@corp.org for more, number {i} of these notes") for i in range(6)]
     docs += [(100 + i, f"Other notes about weather and number {i} with words that differ each time{i} for more of these") for i in range(200)]
@@ -47,3 +101,5 @@ def test_disclosing_terms(spark):
     assert all(not r.terms for r in pii.spanned(df).where("doc_id >= 100").collect())
     clean = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
     assert "zeb@corp.org" not in clean[0] and "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[150] == docs[56][1]
+    kinds = spark.createDataFrame([("Zebulon",), ("weather",), ("x23",), ("\u738b\u82b3",), ("\u00c9mile",)], "w string").select(pii.kind_of(F.col("w")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["[NAME]", "[WORD]", "[CODE]", "[NAME]", "[NAME]"]
