@@ -341,10 +341,12 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, text: str | Column = "text"
     if similar:
         distinct = cut(rows.where(F.size("probes") > 0).select("t", "fp", "code", "probes").dropDuplicates(["t"]))
         links = links.unionByName(similar_edges(distinct, docs.select(F.xxhash64(column).alias("t"), column.alias("text"))))
-    roots = components(links).withColumnRenamed("u", "fp")
-    joined = nodes.select("fp", "lowest").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = joined.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    return rows.select("doc_id", "fp").join(joined.join(named, "root").select("fp", "component_id"), "fp")
+    # Nodes are ordered by their smallest doc_id, those without one last, so a component's root has its id and nothing is joined by root.
+    named = nodes.select("fp", F.struct(F.col("lowest").isNull().alias("none"), "lowest", "fp").alias("node"))
+    end = lambda c: named.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+    roots = components(links.join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
+    joined = nodes.join(roots.select(F.col("u.fp").alias("fp"), F.col("root.lowest").alias("first")), "fp", "left")
+    return rows.select("doc_id", "fp").join(joined.select("fp", F.coalesce("first", "lowest").alias("component_id")), "fp")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
