@@ -81,17 +81,24 @@ def fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array([fingerprint_of((x.as_py() or "").encode()) for x in texts], pa.int64())
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIERS, FLIPS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, MINIMA, 1), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-#: Shingles whose minima are taken at a time.
-STEP = 4096
+#: Shingles whose minima are taken at a time, few enough for a processor's cache.
+STEP = 256
 
 
 def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct five-word shingles."""
+    """Sorted hashes of the distinct five-word shingles, each from the hashes of its words."""
     words = text.lower().split()
-    if 0 < len(words) <= WORDS:
-        return np.array([xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + WORDS]), SEED) for i in range(len(words) - WORDS + 1)), np.uint64))
+    if not words:
+        return np.empty(0, np.uint64)
+    each = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - WORDS + 1)
+    out = np.full(n, len(words) if len(words) < WORDS else WORDS, np.uint64)
+    for i in range(min(WORDS, len(words))):
+        out = (out ^ each[i : i + n]) * MIX
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
 
 
 def code_of(text: bytes) -> tuple[int, bytes, list[int]]:
@@ -101,7 +108,9 @@ def code_of(text: bytes) -> tuple[int, bytes, list[int]]:
         return 0, bytes(MINIMA), []
     least = np.full(MINIMA, (1 << 64) - 1, np.uint64)
     for i in range(0, len(own), STEP):
-        least = np.minimum(least, ((own[None, i : i + STEP] ^ FLIPS) * MULTIPLIERS).min(1))
+        some = own[None, i : i + STEP] ^ FLIPS
+        some *= MULTIPLIERS
+        np.minimum(least, some.min(1), out=least)
     bands = least[: BANDS * ROWS].reshape(BANDS, ROWS)
     return fingerprint_of(text), least.astype(np.uint8).tobytes(), [xxh64_intdigest(b.tobytes(), SEED) - (1 << 63) for b in bands]
 
