@@ -1,36 +1,45 @@
 """Exact paired tests, bootstrap intervals, percentiles.
 
-Counts are aggregated by Spark; what a test sees is one small row for a group:
-two counts, or the counts of distinct absolute differences.
+Counts are aggregated by Spark; what a test sees is one row for a group: two
+counts, or the counts of distinct absolute differences. The tests take the
+exact distribution at every size; beyond ``EXACT`` subjects its terms are
+floating-point numbers instead of fractions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
-from math import comb, erfc, sqrt
+from math import comb, exp, lgamma, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Subjects up to which sign patterns are counted exactly.
-EXACT = 2000
+#: Subjects up to which sign patterns are counted in whole numbers; products of a rank sum's size and the differences up to which sums are added one difference at a time.
+EXACT, STEPWISE = 2000, 1 << 31
 
 
-@F.pandas_udf(T.DoubleType())
-def binomial_two_sided(a: pd.Series, b: pd.Series) -> pd.Series:
-    """P of a split as uneven as a to b, or more so, if both sides are as likely; 1 without any. Exact up to EXACT subjects, normal beyond."""
-
-    def p(x: int, y: int) -> float:
-        n, k = x + y, min(x, y)
-        if n > EXACT:
-            return erfc(max(0.0, abs(x - y) - 1) / sqrt(2 * n))
+def binomial_p(x: int, y: int) -> float:
+    """P of a split as uneven as x to y, or more so, if both sides are as likely; 1 without any."""
+    n, k = x + y, min(x, y)
+    if n <= EXACT:
         return min(1.0, float(Fraction(2 * sum(comb(n, i) for i in range(k + 1)), 2**n))) if n else 1.0
+    # The tail, from its largest term down: each is the one before times i / (n - i + 1).
+    first, total, term, i = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2), 1.0, 1.0, k
+    while i > 0 and term > 1e-18 * total:
+        term *= i / (n - i + 1)
+        total += term
+        i -= 1
+    return min(1.0, 2 * exp(first + log(total)))
 
-    return pd.Series([p(int(x), int(y)) for x, y in zip(a, b)])
+
+@F.pandas_udf(T.DoubleType())
+def binomial_two_sided(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([binomial_p(int(x), int(y)) for x, y in zip(a, b)])
 
 
 def sign_test(pairs: DataFrame, delta: str = "delta", by: Sequence[str] = ()) -> DataFrame:
@@ -44,32 +53,40 @@ def mcnemar(pairs: DataFrame, first: str, second: str, by: Sequence[str] = ()) -
     return counts.withColumn("p_value", binomial_two_sided("only_first", "only_second"))
 
 
-def _wilcoxon(positive: list[tuple[float, int]], ties: list[tuple[float, int]], limit: int = 5000) -> tuple[float, float]:
+def rank_sums(steps: list[tuple[int, int]]) -> np.ndarray:
+    """Chances of each sum of doubled ranks, if each of n ranks r of the steps (r, n) is in it or not."""
+    total, count = sum(r * n for r, n in steps), sum(n for _, n in steps)
+    if len(steps) > 1 and total * count > STEPWISE:  # halves, multiplied as polynomials
+        half = len(steps) // 2
+        a, b = rank_sums(steps[:half]), rank_sums(steps[half:])
+        size = 1 << (total).bit_length()
+        return np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[: total + 1], 0)
+    out = np.ones(1)
+    for r, n in steps:
+        for _ in range(n):
+            longer = np.zeros(len(out) + r)
+            longer[: len(out)] = out / 2
+            longer[r:] += out / 2
+            out = longer
+    return out
+
+
+def wilcoxon_p(positive: list[tuple[float, int]], ties: list[tuple[float, int]]) -> tuple[float, float]:
     """(sum of positive ranks, two-sided p). ties: how often each absolute difference is there, positive: how often as a positive one."""
     ranks, seen = {}, 0
     for value, n in sorted(ties):
         ranks[value] = 2 * seen + n + 1  # twice the mid-rank
         seen += n
-    w = sum(ranks[v] * n for v, n in positive)
-    total = sum(ranks[v] * n for v, n in ties)
     if seen == 0:
         return 0.0, 1.0
-    if total <= limit:  # exact: the number of sign patterns for each doubled rank sum
-        ways = [1] + [0] * total
-        for value, n in ties:
-            for _ in range(n):
-                for s in range(total, ranks[value] - 1, -1):
-                    ways[s] += ways[s - ranks[value]]
-        far = abs(2 * w - total)
-        p = Fraction(sum(c for s, c in enumerate(ways) if abs(2 * s - total) >= far), 2**seen)
-        return w / 2, float(p)
-    variance = sum(n * ranks[v] ** 2 for v, n in ties) / 4
-    z = max(0.0, abs(w - total / 2) - 1) / sqrt(variance)
-    return w / 2, erfc(z / sqrt(2))
+    w, total = sum(ranks[v] * n for v, n in positive), sum(ranks[v] * n for v, n in ties)
+    chances = rank_sums([(ranks[v], n) for v, n in sorted(ties)])
+    far = np.abs(2 * np.arange(total + 1) - total) >= abs(2 * w - total)
+    return w / 2, min(1.0, float(chances[far].sum()))
 
 
 def wilcoxon(pairs: DataFrame, delta: str = "delta", by: Sequence[str] = ()) -> DataFrame:
-    """Signed-rank test; zeros are left out, ties get mid-ranks; exact up to some 70 differences, normal beyond."""
+    """Signed-rank test; zeros are left out, ties get mid-ranks. A group's distinct differences go to one task, and its rank sums, as many as the square of the differences, are held there."""
     per = pairs.where(F.col(delta) != 0).groupBy(*by, F.abs(delta).cast("double").alias("v")).agg(F.count("*").alias("n"), F.count_if(F.col(delta) > 0).alias("up"))
     grouped_ = per.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("v", "n", "up"))).alias("values"))
 
@@ -78,7 +95,7 @@ def wilcoxon(pairs: DataFrame, delta: str = "delta", by: Sequence[str] = ()) ->
         rows = []
         for own in values:
             ties = [(x["v"], int(x["n"])) for x in own]
-            w, p = _wilcoxon([(x["v"], int(x["up"])) for x in own], ties)
+            w, p = wilcoxon_p([(x["v"], int(x["up"])) for x in own], ties)
             rows.append((w, p, sum(n for _, n in ties)))
         return pd.DataFrame(rows, columns=["w_plus", "p_value", "n"])
 

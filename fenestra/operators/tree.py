@@ -154,13 +154,13 @@ def located(targets: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return targets.join(nodes.select(key, "path", "node", "tag", "attrs"), [key, "path"], "left")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, limit: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, item): what is reached from each start over edges (source, target), itself included; cycles end as nothing new is reached."""
     seen = starts.select(F.col("item").alias("start"), "item").distinct()
     frontier = seen
     from fenestra.checkpoints import cut
 
-    for _ in range(limit):
+    while True:
         frontier = cut(frontier.join(edges.select(F.col("source").alias("item"), "target"), "item").select("start", F.col("target").alias("item")).distinct().join(seen, ["start", "item"], "left_anti"))
         if frontier.isEmpty():
             break
