@@ -25,8 +25,9 @@ shared (of a shorter text, all its words are the one shingle). Candidates are th
 that agree in one of ``BANDS`` bands of ``ROWS`` minima of the sets: at 0.8, 5 pairs
 in 100,000 agree in none, wherever the changes are. Every candidate is verified by
 the sets themselves. Verified pairs of a bucket's members and a centre come first,
-by ``STARS`` choices of the centre; then all pairs whose ends are still in
-different components, in blocks of at most ``CROWD`` members.
+by ``STARS`` choices of the centre; then what is still in different
+components, in blocks of at most ``CROWD`` members, two to a task: pairs are compared
+there by their minima, and come out only if those leave them a chance.
 
 Defined results: null text and text without words have fingerprint 0, linked
 like any other. component_id is the smallest non-null doc_id of the component,
@@ -54,8 +55,8 @@ SAMPLE, BUCKET, LEVELS, SHINGLES = 2048, 4096, 2, 1 << 16
 #: Codes for similar texts, of CODE / 8 minima, a byte of each: a probe for each WIDTH of TABLES * 64, so BANDS of ROWS minima; words of a shingle.
 TABLES, WIDTH, CODE, ROWS, WORDS = 8, 20, 1024, 5, 5
 BANDS, MINIMA = TABLES * 64 // WIDTH, CODE // 8
-#: Shared of all shingles, in tenths, from which texts are similar; equal minima below which they can't be (5 deviations below); centres tried; members of a block.
-ALIKE, EQUAL, STARS, CROWD = 8, 77, 2, 2000
+#: Shared of all shingles, in tenths, from which texts are similar; equal minima below which they aren't looked at (4 deviations below: 3 pairs in 100,000); centres tried; members of a block.
+ALIKE, EQUAL, STARS, CROWD = 8, 84, 2, 2000
 #: Cost of a pair to verify, in rows to shuffle.
 PAIR_COST = 0.02
 
@@ -127,6 +128,35 @@ def may_be_similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((left == right).sum(1) >= EQUAL, pa.bool_())
 
 
+PAIRS = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+#: Rows of a block that are compared with all others at a time.
+SLICE = 64
+
+
+@F.arrow_udf(PAIRS)
+def pairs_inside(blocks: pa.Array, same: pa.Array) -> pa.Array:
+    """Of each block's members (t, root, p, code) the pairs that may be similar, have different roots and, unless it is one part with itself, are of different parts."""
+    out, ends = [np.empty((0, 2), np.int64)], [0]
+    for own, one in zip(blocks, same):
+        rows = own.values
+        t, root, part = (rows.field(k).to_numpy() for k in ("t", "root", "p"))
+        code = np.frombuffer(b"".join(x.as_py() for x in rows.field("code")), np.uint8).reshape(-1, MINIMA)
+        total = 0
+        for i in range(0, len(t), SLICE):
+            equal = (code[i : i + SLICE, None, :] == code[None, i:, :]).sum(2, dtype=np.uint8)
+            fits = (equal >= EQUAL) & (root[i : i + SLICE, None] != root[None, i:])
+            if not one.as_py():
+                fits &= part[i : i + SLICE, None] != part[None, i:]
+            a, b = np.nonzero(fits)
+            keep = a < b
+            found = np.stack([t[i + a[keep]], t[i + b[keep]]], 1)
+            out.append(np.sort(found, 1))
+            total += len(found)
+        ends.append(ends[-1] + total)
+    flat = np.concatenate(out)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["u", "v"]))
+
+
 def are_similar(x: np.ndarray, y: np.ndarray) -> bool:
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return 10 * shared >= ALIKE * (len(x) + len(y) - shared)
@@ -277,9 +307,10 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> Dat
             pairs = live.join(open_.select("b", "centre.c", "centre.at"), "b").where("root != at").select(*pair)
         else:
             parts = live.join(open_.select("b", F.ceil(F.col("n") / crowd).cast("int").alias("parts")), "b").withColumn("p", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
-            blocks = parts.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("b", "t", "root", "p", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
-            other = blocks.select("b", "lo", "hi", F.col("t").alias("c"), F.col("root").alias("at"), F.col("p").alias("o"))
-            pairs = blocks.join(other, ["b", "lo", "hi"]).where("t < c and root != at and (lo = hi or p != o)").select(*pair)
+            coded = parts.join(nodes.select("t", "code"), "t")
+            dealt = coded.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).groupBy("b", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+            inside = dealt.agg(F.collect_list(F.struct("t", "root", "p", "code")).alias("members"))
+            pairs = inside.select(F.explode(pairs_inside("members", F.col("lo") == F.col("hi"))).alias("e")).select("e.u", "e.v")
         pairs = pairs.distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
