@@ -27,7 +27,7 @@ in 100,000 agree in none, wherever the changes are. Every candidate is verified
 the sets themselves. Verified pairs of a bucket's members and a centre come first,
 by ``STARS`` choices of the centre; then what is still in different
 components, in blocks of at most ``CROWD`` members, two to a task: pairs are compared
-there by their minima, and come out only if those leave them a chance.
+there by their minima, then by their sets, and only links come out.
 
 Defined results: null text and text without words have fingerprint 0, linked
 like any other. component_id is the smallest non-null doc_id of the component,
@@ -55,8 +55,8 @@ SAMPLE, BUCKET, LEVELS, SHINGLES = 2048, 4096, 2, 1 << 16
 #: Codes for similar texts, of CODE / 8 minima, a byte of each: a probe for each WIDTH of TABLES * 64, so BANDS of ROWS minima; words of a shingle.
 TABLES, WIDTH, CODE, ROWS, WORDS = 8, 20, 1024, 5, 5
 BANDS, MINIMA = TABLES * 64 // WIDTH, CODE // 8
-#: Shared of all shingles, in tenths, from which texts are similar; equal minima below which they aren't looked at (4 deviations below: 3 pairs in 100,000); centres tried; members of a block.
-ALIKE, EQUAL, STARS, CROWD = 8, 84, 2, 2000
+#: Shared of all shingles, in tenths, from which texts are similar; equal minima below which they aren't looked at (4 deviations below: 3 pairs in 100,000); centres tried; members of a block, and bytes of their sets.
+ALIKE, EQUAL, STARS, CROWD, BYTES = 8, 84, 2, 2000, 16 << 20
 #: Cost of a pair to verify, in rows to shuffle.
 PAIR_COST = 0.02
 
@@ -128,38 +128,43 @@ def may_be_similar(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((left == right).sum(1) >= EQUAL, pa.bool_())
 
 
-PAIRS = T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())]))
+def are_similar(x: np.ndarray, y: np.ndarray) -> bool:
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 10 * shared >= ALIKE * (len(x) + len(y) - shared)
+
+
+@F.arrow_udf(T.BinaryType())
+def shingle_sets(texts: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(x.as_py().encode()).tobytes() for x in texts], pa.binary())
+
+
 #: Rows of a block that are compared with all others at a time.
 SLICE = 64
 
 
-@F.arrow_udf(PAIRS)
-def pairs_inside(blocks: pa.Array, same: pa.Array) -> pa.Array:
-    """Of each block's members (t, root, p, code) the pairs that may be similar, have different roots and, unless it is one part with itself, are of different parts."""
-    out, ends = [np.empty((0, 2), np.int64)], [0]
-    for own, one in zip(blocks, same):
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])))
+def links_inside(blocks: pa.Array, band: pa.Array, same: pa.Array) -> pa.Array:
+    """Of each block's members (fp, root, p, code, set), all of one band, the links of similar ones with different roots and, unless it is one part with itself, of different parts.
+
+    A pair that shares several bands is looked at in the first one only.
+    """
+    out, ends = [], [0]
+    for own, k, one in zip(blocks, band.to_pylist(), same.to_pylist()):
         rows = own.values
-        t, root, part = (rows.field(k).to_numpy() for k in ("t", "root", "p"))
+        fp, root, part = (rows.field(c).to_numpy() for c in ("fp", "root", "p"))
         code = np.frombuffer(b"".join(x.as_py() for x in rows.field("code")), np.uint8).reshape(-1, MINIMA)
-        total = 0
-        for i in range(0, len(t), SLICE):
-            equal = (code[i : i + SLICE, None, :] == code[None, i:, :]).sum(2, dtype=np.uint8)
-            fits = (equal >= EQUAL) & (root[i : i + SLICE, None] != root[None, i:])
-            if not one.as_py():
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.field("set")]
+        for i in range(0, len(fp), SLICE):
+            equal = code[i : i + SLICE, None, :] == code[None, i:, :]
+            fits = (equal.sum(2, dtype=np.uint8) >= EQUAL) & (root[i : i + SLICE, None] != root[None, i:])
+            if not one:
                 fits &= part[i : i + SLICE, None] != part[None, i:]
-            a, b = np.nonzero(fits)
-            keep = a < b
-            found = np.stack([t[i + a[keep]], t[i + b[keep]]], 1)
-            out.append(np.sort(found, 1))
-            total += len(found)
-        ends.append(ends[-1] + total)
-    flat = np.concatenate(out)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["u", "v"]))
-
-
-def are_similar(x: np.ndarray, y: np.ndarray) -> bool:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return 10 * shared >= ALIKE * (len(x) + len(y) - shared)
+            a, b = np.nonzero(np.triu(fits, 1))
+            first = equal[a, b, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1) == k
+            out += [(int(fp[i + x]), int(fp[i + y])) for x, y in zip(a[first].tolist(), b[first].tolist()) if are_similar(sets[i + x], sets[i + y])]
+        ends.append(len(out))
+    u, v = zip(*out) if out else ((), ())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]))
 
 
 @F.arrow_udf(T.BooleanType())
@@ -294,36 +299,41 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(both.where(similar("a", "b")).select("u", "v", "x", "y"))
 
 
+def crowded_links(live: DataFrame, open_: DataFrame, nodes: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
+    """Links (u, v) of fingerprints between members of open bands that are in different components, compared in blocks of at most ``crowd`` members and ``BYTES``, two to a task."""
+    members = live.join(open_.select("b"), "b")
+    wanted = members.select("t").distinct()
+    own = cut(texts.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("t", shingle_sets("text").alias("set")))
+    sizes = members.join(own.select("t", F.octet_length("set").alias("n")), "t").groupBy("b").agg(F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("n") / BYTES)).cast("int").alias("parts"))
+    full = members.join(sizes, "b").join(nodes.select("t", "fp", "code"), "t").join(own, "t").withColumn("p", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
+    dealt = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).groupBy("b", "pos", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+    blocks = dealt.agg(F.collect_list(F.struct("fp", "root", "p", "code", "set")).alias("members")).where(F.size("members") > 1)
+    return cut(blocks.select(F.explode(links_inside("members", "pos", F.col("lo") == F.col("hi"))).alias("e")).select("e.u", "e.v").distinct())
+
+
 def similar_edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Links (u, v) between fingerprints that connect all that similar candidates do. nodes: (t, fp, code, probes), t a text's hash and unique; texts: (t, text)."""
-    rows = nodes.select("t", F.posexplode("probes")).select(F.xxhash64("pos", "col").alias("b"), "t")
+    rows = nodes.select("t", F.posexplode("probes")).select("pos", F.xxhash64("pos", "col").alias("b"), "t")
     shared = rows.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
     live = cut(rows.join(shared.select("b"), "b", "left_semi").withColumn("root", F.col("t")))
     nodes, pair = nodes.drop("probes"), [F.least("t", "c").alias("u"), F.greatest("t", "c").alias("v")]
-    tried = found = None
+    tried, found, links = None, None, nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     for turn in range(STARS + 1):
-        open_ = live.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("t", F.lit(turn)), F.col("t").alias("c"), F.col("root").alias("at"))).alias("centre"), F.count("*").alias("n")).where("low < high")
-        if turn < STARS:
-            pairs = live.join(open_.select("b", "centre.c", "centre.at"), "b").where("root != at").select(*pair)
-        else:
-            parts = live.join(open_.select("b", F.ceil(F.col("n") / crowd).cast("int").alias("parts")), "b").withColumn("p", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
-            coded = parts.join(nodes.select("t", "code"), "t")
-            dealt = coded.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).groupBy("b", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
-            inside = dealt.agg(F.collect_list(F.struct("t", "root", "p", "code")).alias("members"))
-            pairs = inside.select(F.explode(pairs_inside("members", F.col("lo") == F.col("hi"))).alias("e")).select("e.u", "e.v")
-        pairs = pairs.distinct()
+        centre = F.min(F.struct(F.xxhash64("t", F.lit(turn)), F.col("t").alias("c"), F.col("root").alias("at"))).alias("centre")
+        open_ = live.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre).where("low < high")
+        if turn == STARS:
+            open_ = cut(open_.select("b"))
+            return links if open_.isEmpty() else links.unionByName(crowded_links(live, open_, nodes, texts, crowd)).where("u != v").distinct()
+        pairs = live.join(open_.select("b", "centre.c", "centre.at"), "b").where("root != at").select(*pair).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
-            break
+            continue
         own = verified(pairs, nodes, texts)
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = own if found is None else found.unionByName(own)
-        if turn < STARS:
-            roots = components(found.select("u", "v")).select(F.col("u").alias("t"), F.col("root").alias("r"))
-            live = cut(live.join(roots, "t", "left").select("b", "t", F.coalesce("r", "t").alias("root")))
-    if found is None:
-        return nodes.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
-    return found.select(F.col("x").alias("u"), F.col("y").alias("v")).where("u != v").distinct()
+        links = links.unionByName(own.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        roots = components(found.select("u", "v")).select(F.col("u").alias("t"), F.col("root").alias("r"))
+        live = cut(live.join(roots, "t", "left").select("pos", "b", "t", F.coalesce("r", "t").alias("root")))
 
 
 def _signed(mask: int) -> int:
