@@ -128,3 +128,26 @@ def stable_key(seed: str | int, *parts: Column | str) -> Column:
 def version_key(version: Column) -> Column:
     """An array that sorts dotted numbers as numbers."""
     return F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+
+
+CHINESE = r"[\x{4e00}-\x{9fff}]"
+
+
+def split_keywords(words: Column) -> tuple[Column, Column]:
+    """(words without, words with Chinese characters), each once and in order; a null array gives empty ones."""
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(words, lambda w: ~w.rlike(CHINESE))), F.array_distinct(F.filter(words, lambda w: w.rlike(CHINESE)))
+
+
+def json_object(reply: Column) -> Column:
+    """The JSON object in a model's reply: without its fence; if prose stands before it, what is between the outermost braces. Null if that doesn't parse."""
+    plain = F.trim(F.regexp_replace(F.trim(reply), r"^```[^\n]*\n|\n```[^\n]*$", ""))
+    inner = F.when(plain.startswith("{"), plain).otherwise(F.regexp_extract(plain, r"(?s)(\{.*\})", 1))
+    # Spark's parsers stop after the first value: what follows it would break one of these two.
+    whole = (F.json_array_length(F.concat(F.lit("["), inner, F.lit("]"))) == 1) & F.try_parse_json(F.concat(F.lit('{"x":'), inner, F.lit("}"))).isNotNull()
+    return F.when((inner != "") & whole, inner)
+
+
+def number(cell: Column, blank: float = 0.0) -> Column:
+    """A cell as a number; blank cells and null count as given, other texts as null."""
+    return F.when(F.coalesce(F.trim(cell), F.lit("")) == "", blank).otherwise(F.trim(cell).try_cast("double"))

@@ -151,3 +151,30 @@ def score_layout(counts: dict[str, tuple[Column, float, float]], disqualified: C
         total = total + F.least(count * weight, F.lit(maximum))
     score = F.when(disqualified, 0.0).otherwise(total)
     return score, score >= threshold
+
+
+# What in a layout's text tells that a repository is worth a look.
+MARKERS = {
+    "input_widget": r"<(?:[\w.]*EditText|[\w.]*AutoCompleteTextView)\b",
+    "input_type": r"(?:android:)?inputType\s*=",
+    "label_for": r"(?:android:)?labelFor\s*=",
+    "important_no": r"importantForAccessibility\s*=\s*[\"'](?:no|noHideDescendants)[\"']",
+    "focusable_false": r"focusable\s*=\s*[\"']false[\"']",
+    "clickable": r"(?:clickable\s*=\s*[\"']true[\"']|android:onClick\s*=)",
+}
+
+
+def marker_counts(layouts: DataFrame, by: Sequence[str], content: str) -> DataFrame:
+    """(by, a count for each marker, worth): markers in all of a group's layouts, counted file by file before the shuffle."""
+    counts = layouts.groupBy(*by).agg(*(F.sum(F.coalesce(F.regexp_count(content, F.lit(p)), F.lit(0))).alias(n) for n, p in MARKERS.items()))
+    some = lambda *names: F.greatest(*(F.col(n) for n in names)) > 0 if len(names) > 1 else F.col(names[0]) > 0
+    return counts.withColumn("worth", some("label_for", "important_no", "focusable_false") | (some("input_widget") & some("input_type")))
+
+
+def chosen(rows: DataFrame, name: str, wanted: Sequence[str]) -> DataFrame:
+    """The rows of the wanted names; a name that no row has is an error."""
+    names = rows.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(wanted)], f"{name} string")
+    unknown = [r[0] for r in names.join(rows.select(name).distinct(), name, "left_anti").orderBy(name).collect()]  # at most the wanted names
+    if unknown:
+        raise ValueError(f"unknown {name}: {', '.join(unknown)}")
+    return rows.join(names, name, "left_semi")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenestra.operators.retrieval import jaccard
+
 
 def ranked_metrics(ranking: DataFrame, labels: DataFrame, query: str, item: str, ks: Sequence[int] = (1, 3, 5), relevant: int = 1) -> DataFrame:
     """Per query: precision, recall and nDCG at each k (gain 2^grade - 1), and the reciprocal rank.
@@ -48,3 +50,22 @@ def gates(summary: DataFrame, minimums: dict[str, float], maximums: dict[str, fl
     for f in flags:
         passed = passed & F.col(f)
     return out.withColumn("passed", passed)
+
+
+def new_at_k(results: DataFrame, task: str, k: str, documents: str) -> DataFrame:
+    """(task, k, rank from 1, doc_id, is_new): lists of documents by their length limit k as rows, and whether a document is in none of the task's shorter lists."""
+    rows = results.select(task, k, F.posexplode(documents).alias("_pos", "doc_id"))
+    first = F.min(k).over(Window.partitionBy(task, "doc_id"))
+    return rows.select(task, k, (F.col("_pos") + 1).alias("rank"), "doc_id", (F.col(k) == first).alias("is_new"))
+
+
+def alike_in_lists(rows: DataFrame, task: str, k: str, tokens: str, limit: float) -> DataFrame:
+    """(task, k, first, second, similarity): pairs of documents of one list, of k at most, whose token sets are alike by a Jaccard similarity at or above the limit."""
+    a, b = rows.select(task, k, F.col("rank").alias("_ra"), F.col("doc_id").alias("first"), F.col(tokens).alias("_a")), rows.select(task, k, F.col("rank").alias("_rb"), F.col("doc_id").alias("second"), F.col(tokens).alias("_b"))
+    pairs = a.join(b, [task, k]).where(F.col("_ra") < F.col("_rb")).withColumn("similarity", jaccard(F.col("_a"), F.col("_b")))
+    return pairs.where(F.col("similarity") >= limit).select(task, k, "first", "second", "similarity")
+
+
+def best_configuration(summaries: DataFrame, name: str, better: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """(by, name): the configuration that comes first by the columns in their order, smaller first (negate what should be large), then by name."""
+    return summaries.groupBy(*by).agg(F.min_by(name, F.struct(*better, F.col(name))).alias(name))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenestra.functions.measures import reduction
+from fenestra.functions.text import truth
 
 #: Fixed value: the levels of a finding; other texts count as the first.
 LEVELS = ("error", "warning", "info")
@@ -96,3 +97,18 @@ def nested_attempts(rounds: str = "rounds", status: str | None = None) -> Column
     """Number of attempts in rounds[].attempts[], of one status if it is given."""
     attempts = F.flatten(F.transform(F.coalesce(F.col(rounds), F.array()), lambda r: r["attempts"]))
     return F.size(F.filter(attempts, lambda a: a["status"] == status) if status else attempts)
+
+
+def boundary_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of findings that no edit can mend (model_calls, decision, refused as text): how many there are, were stopped before a call, and were rightly refused."""
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("candidates"), F.sum(F.coalesce(F.col("model_calls").cast("long"), F.lit(0))).alias("model_calls"),
+        F.count_if(F.col("decision") == "blocked_before_model").alias("blocked"), F.count_if(truth(F.col("refused"))).alias("refusals"),
+    )
+
+
+def contribution(gain: Column, low: Column, high: Column, safe: Column) -> Column:
+    """What a difference in repair rates says with its interval: a contribution if both are above zero and nothing became less safe, harm if both are below; null bounds or gains say nothing."""
+    # The names of the three outcomes.
+    good, bad, none = "limited_measurable_rag_contribution", "rag_negative_repair_effect", "no_measurable_rag_contribution"
+    return F.when((gain > 0) & (low > 0) & safe, good).when((gain < 0) & (high < 0), bad).otherwise(none)

@@ -131,8 +131,8 @@ def ancestry(nodes: DataFrame, key: str, columns: dict[str, Column], own: bool =
 
 def last_by_id(nodes: DataFrame, key: str, name: Column, columns: dict[str, Column]) -> DataFrame:
     """Of the nodes that share a name, the last in document order: (key, name, columns)."""
-    named = nodes.select(key, name.alias("name"), F.struct("node", *(c.alias(n) for n, c in columns.items())).alias("v")).where(F.col("name").isNotNull())
-    return named.groupBy(key, "name").agg(F.max_by("v", "v.node").alias("v")).select(key, "name", *(F.col(f"v.{n}").alias(n) for n in columns))
+    named = nodes.select(key, name.alias("name"), F.col("node").alias("_node"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("v")).where(F.col("name").isNotNull())
+    return named.groupBy(key, "name").agg(F.max_by("v", "_node").alias("v")).select(key, "name", *(F.col(f"v.{n}").alias(n) for n in columns))
 
 
 def signature(nodes: DataFrame, key: str, erased: tuple[str, ...] = ()) -> DataFrame:
