@@ -103,9 +103,10 @@ def tasks_to_run(spark: SparkSession, d: str) -> DataFrame:
     return runs.to_run(tables.read(spark, d, "orders").select("o_orderkey"), _states(spark, d).withColumnRenamed("event_id", "o_orderkey"), ["o_orderkey"])
 
 
-@query("SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT event_id FROM events WHERE event_id IS NOT NULL)")
 def missing_from_right(spark: SparkSession, d: str) -> DataFrame:
-    return sets.only_left(tables.read(spark, d, "customer"), tables.read(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    """Orders whose number no event has."""
+    return sets.only_left(tables.read(spark, d, "orders"), tables.read(spark, d, "events").withColumnRenamed("event_id", "o_orderkey"), "o_orderkey")
 
 
 @query("""SELECT item_id, item_id % 3 <> 0 AS isolated, (item_id % 50 + 2)::INT AS injected_chars FROM benchmark""")
