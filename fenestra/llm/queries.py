@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenestra.llm import backoff, bpe, lines, matroska, mixing, pii, simhash, tokens, toxicity, warc
+from fenestra.llm import backoff, bpe, lines, matroska, mixing, phrases, pii, quality, ranked, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_pii": pii.op10_pii,
+    "op11_ranked_search": ranked.op11_ranked_search,
+    "op12_quality": quality.op12_quality,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op4_stupid_backoff": backoff.OP4_SQL,
     "op6_fixity": warc.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_ranked_search": ranked.OP11_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }

@@ -26,6 +26,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(rows(TEXTS), SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(0, 1, 0), (4, 1, 1), (None, 0, 1), (3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, "http://a/b", "<p>x</p>", "z"), (1, "http://a/b", "<p>x</p>", "z"), (None, None, None, "z"), (700, "u", "y" * 200000, "z")], "page_id long, url string, html string, offset string").write.parquet(f"{d}/pages.parquet")
+    items = [(1, "same text: fox quick, QUICK mail"), (2, None), (3, "..."), (None, "text 😀 word"), (1, "ends here"), (4, "text")]
+    spark.createDataFrame([(*x, 9, "t") for x in items], "item_id long, text string, score long, term string").write.parquet(f"{d}/benchmark.parquet")
     return d
 
 
@@ -35,4 +37,5 @@ def nothing(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d

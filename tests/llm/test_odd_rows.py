@@ -10,7 +10,9 @@ from fenestra.llm.common import cut
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_odd_rows(spark, folder, name):
     got = queries.QUERIES[name](spark, folder).collect()
-    if name != "op6_fixity":
+    if name in ("op11_ranked_search", "op13_phrases"):
+        assert got  # values: test_ranked.py, test_phrases.py
+    elif name != "op6_fixity":
         assert len(got) == 9
         assert sorted(str(r.doc_id) for r in got) == sorted(map(str, [0, 1, 2, 3, 4, 5, 5, None, 7]))
         alike = {str(r) for r in got if r.doc_id == 5}

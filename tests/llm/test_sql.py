@@ -17,7 +17,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
