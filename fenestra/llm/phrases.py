@@ -8,10 +8,12 @@ frequent; what an n-gram's cells all allow survives. The sketch never counts too
 little, so nothing frequent is lost.
 
 *Second pass.* The cells that reach the least count are a bitmap of bounded
-size, which is broadcast. Tasks count the survivors' occurrences, summed before
-the shuffle, under the words themselves; what is below the least count after all
-goes. Counts are exact at any size of the sketch: one that is too small for its
-corpus lets more through, and costs only time.
+size, which is broadcast. Tasks count the survivors' occurrences under the words
+themselves, in blocks of text; as most of what survives is seen once in a block, a
+block's counts are shuffled as sorted, compressed lists, a bucket of phrases in
+each. Buckets are added up; what is below the least count after all goes. Counts
+are exact at any size of the sketch: one that is too small for its corpus lets more
+through, and costs only time.
 
 *Scores.* A phrase is cut after each of its words; its parts are at least as
 frequent as it is, so their counts are there. A phrase inside a longer one of
@@ -28,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,16 +40,20 @@ from fenestra.llm.common import cut, table, text_or_empty
 
 #: Longest phrase, its least count, phrases returned for a language, percentage of its count that a longer phrase must have to replace it.
 WORDS, LEAST, TOP, INSIDE = 3, 10, 2000, 50
-#: Rows of the sketch; cells of a row, a power of two: one for each BYTES_PER_CELL of text, between the two numbers; cells of a slice; sketches added up in one group.
-ROWS, FEWEST_CELLS, MOST_CELLS, BYTES_PER_CELL, SLICE, FAN_IN = 2, 1 << 16, 1 << 25, 16, 1 << 20, 16
+#: Rows of the sketch; cells of a row, a power of two; cells of a slice; sketches added up in one group.
+ROWS, CELLS, SLICE, FAN_IN = 2, 1 << 25, 1 << 20, 16
+#: Bytes of text for each bucket of phrases, and the fewest buckets; buckets over which the phrases that start with one word are spread.
+BUCKET_BYTES, BUCKETS, SPREAD = 1 << 24, 16, 16
 #: Words that a task works on at a time; distinct words that it remembers before it starts again; bits of a word's number in the key of an n-gram.
-TOKENS, REMEMBERED, BITS = 500_000, 400_000, 21
+TOKENS, REMEMBERED, BITS = 1_500_000, 400_000, 21
 #: Parts of a language from which its best phrases are taken first.
 PARTS = 64
 
 #: Bytes: A to Z become small, ends of pieces 0xFF, which no UTF-8 has.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 END = b"\xff"
+LIST_NAMES = ["lang", "bucket", "n", "phrases", "counts", "bytes", "size"]
+LISTS = [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -173,11 +180,8 @@ def merged(sketches: DataFrame, tasks: int, step: int) -> DataFrame:
             return sketches
 
 
-def bitmap(docs: DataFrame, least: int = LEAST, cells: int | None = None) -> np.ndarray:
-    """rows x cells / 8: bits of the cells that reach the least count; ROWS * MOST_CELLS / 8 bytes at most."""
-    if cells is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        cells = min(MOST_CELLS, max(FEWEST_CELLS, 1 << max(0, int(size // BYTES_PER_CELL) - 1).bit_length()))
+def bitmap(docs: DataFrame, least: int = LEAST, cells: int = CELLS) -> np.ndarray:
+    """rows x cells / 8: bits of the cells that reach the least count."""
     step = min(SLICE, cells)
     sketches = cut(docs.mapInArrow(_sketcher(cells), "place int, task int, cells binary"))
     tasks = (sketches.agg(F.max("task")).first()[0] or 0) + 1
@@ -194,35 +198,67 @@ def bitmap(docs: DataFrame, least: int = LEAST, cells: int | None = None) -> np.
 
 
 # -- second pass -------------------------------------------------------------
-def survivors(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, n, phrase, f): partial counts of the n-grams that the sketch lets through; n = 0: all words of a language."""
+def survivors(docs: DataFrame, bits: np.ndarray, buckets: int) -> DataFrame:
+    """(lang, bucket, n, phrases, counts): counts of a block's n-grams that the sketch lets through, as lists; n = 0: all words of the block."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     cells = bits.shape[1] * 8
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for lang, ids, words in blocks(batches):
-            phrases, sizes, counts = [""], [0], [np.array([np.count_nonzero(ids)])]
+            # Numbers in the order of the words, so that lists come out sorted.
+            seen = np.unique(ids[ids > 0])
+            vocabulary = sorted((words.words[i], i) for i in seen.tolist())
+            rank = np.zeros(len(words.words), np.int64)
+            rank[[i for _, i in vocabulary]] = np.arange(len(vocabulary))
+            texts = [w for w, _ in vocabulary]
+            hashes = words.hashed(np.array([i for _, i in vocabulary], np.int64))
+            out = [(0, 0, b"", np.array([np.count_nonzero(ids)]))]
             for n, h, at in grams(lang, ids, words):
                 good = np.ones(len(h), bool)
                 for row in range(ROWS):
                     c = cells_of(h, row, cells)
                     good &= (bits[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
                 at = at[good]
-                rows, f = counted([ids[at + k] for k in range(n)])
-                phrases += [b" ".join([words.words[i] for i in p]).decode() for p in zip(*(x.tolist() for x in rows))]
-                sizes += [n] * len(f)
-                counts.append(f)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(np.concatenate(counts), pa.int64())], ["lang", "n", "phrase", "f"])
+                rows, f = counted([rank[ids[at + k]] for k in range(n)])
+                # A bucket has phrases of few first words, as they are short when sorted.
+                key = hashes[rows[0]] % np.uint64(buckets)
+                if n > 1:
+                    key = (key + hashes[rows[1]] % np.uint64(SPREAD)) % np.uint64(buckets)
+                order = np.argsort(key, kind="stable")
+                key, f = key[order], f[order]
+                parts = [x[order] for x in rows]
+                edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist() if len(key) else [0]
+                for lo, hi in zip(edges, edges[1:]):
+                    lines = zip(*([texts[i] for i in x[lo:hi].tolist()] for x in parts))
+                    out.append((int(key[lo]), n, b"\n".join(map(b" ".join, lines)), f[lo:hi]))
+            columns = [[lang] * len(out), [b for b, *_ in out], [n for _, n, *_ in out], [squeezed(np.frombuffer(p, np.uint8)) for _, _, p, _ in out], [squeezed(f.astype(np.int32)) for *_, f in out], [len(p) for _, _, p, _ in out], [len(f) for *_, f in out]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LISTS)], LIST_NAMES)
+
+    return docs.mapInArrow(count, "lang string, bucket int, n int, phrases binary, counts binary, bytes long, size long")
+
+
+def added(lists: DataFrame, least: int) -> DataFrame:
+    """(lang, n, phrase, f): the lists of each bucket added up; below the least count goes."""
 
-    return docs.mapInArrow(count, "lang string, n int, phrase string, f long")
+    def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        phrases, counts = [], []
+        for p, f, n_bytes, size in zip(group["phrases"], group["counts"], group["bytes"].to_pylist(), group["size"].to_pylist()):
+            phrases.append(pa.array(unsqueezed(p, n_bytes).tobytes().split(b"\n"), pa.binary()))
+            counts.append(pa.array(unsqueezed(f, 4 * size).view(np.int32), pa.int64()))
+        table = pa.table({"phrase": pa.chunked_array(phrases), "f": pa.chunked_array(counts)}).group_by("phrase").aggregate([("f", "sum")])
+        table = table.filter(pc.greater_equal(table["f_sum"], least if key[2].as_py() else 0))
+        n = len(table)
+        return pa.table({"lang": pa.array([key[0].as_py()] * n, pa.string()), "n": pa.array([key[2].as_py()] * n, pa.int32()), "phrase": table["phrase"].cast(pa.string()), "f": table["f_sum"]})
+
+    return lists.groupBy("lang", "bucket", "n").applyInArrow(add, "lang string, n int, phrase string, f long")
 
 
-def counts(docs: DataFrame, least: int = LEAST, cells: int | None = None) -> DataFrame:
+def counts(docs: DataFrame, least: int = LEAST, cells: int = CELLS) -> DataFrame:
     """(lang, n, phrase, f): exact counts of the n-grams that are there ``least`` times or more, and, with n = 0, of all words of a language."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty("text").alias("text"))
-    summed = survivors(docs, bitmap(docs, least, cells)).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f"))
-    return summed.where((F.col("n") == 0) | (F.col("f") >= least))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return added(survivors(docs, bitmap(docs, least, cells), max(BUCKETS, int(size // BUCKET_BYTES))), least)
 
 
 def scored(found: DataFrame, inside: int = INSIDE) -> DataFrame:
@@ -245,7 +281,7 @@ def scored(found: DataFrame, inside: int = INSIDE) -> DataFrame:
     return lowest.select("lang", "phrase", "x.*")
 
 
-def best(docs: DataFrame, top: int = TOP, least: int = LEAST, cells: int | None = None) -> DataFrame:
+def best(docs: DataFrame, top: int = TOP, least: int = LEAST, cells: int = CELLS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's phrases that score highest."""
     found = cut(counts(docs, least, cells))
     ranked = scored(found)

@@ -36,9 +36,9 @@ def brute(rows, least=10, top=2000):
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, found in out.items() for i, (s, a, p, left, right) in enumerate(sorted(found)[:top]))
 
 
-def spark_rows(spark, rows, **how):
+def spark_rows(spark, rows, cells=1 << 12, **how):
     df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
-    return sorted(tuple(r) for r in phrases.best(df, **how).collect())
+    return sorted(tuple(r) for r in phrases.best(df, cells=cells, **how).collect())
 
 
 def corpus(seed):
@@ -49,7 +49,7 @@ def corpus(seed):
     return rows + [("en", None), (None, ""), ("fr", "only once"), ("en", "New York City " * 40), ("en", "same words, " * 15), ("en", "same words, " * 15), ("xx", "to be or " * 5000)]
 
 
-@pytest.mark.parametrize("cells", [None, 64, 1 << 16])
+@pytest.mark.parametrize("cells", [64, 1 << 16, phrases.CELLS])
 def test_against_brute_force(spark, monkeypatch, cells):
     """A sketch of 64 cells lets everything through; counts are the same."""
     monkeypatch.setattr(phrases, "FAN_IN", 2)
