@@ -12,45 +12,44 @@ from fenestra.checkpoints import cut
 from fenestra.functions.text import repository_url, sorted_json
 
 # Type, subtype and difficulty of findings by code; codes that need the running app; attributes that a type depends on.
-A, P = "ANDROID_XML_", "PRESCREEN_"
 CLASSES = {
-    A + "MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "interactive_control_missing_name", "easy"),
-    A + "IMAGE_BUTTON_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "image_button_missing_name", "easy"),
-    A + "BUTTON_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "button_missing_name", "easy"),
-    A + "INTERACTIVE_IMAGE_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "clickable_image_missing_name", "medium"),
-    A + "CLICKABLE_VIEW_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "custom_clickable_missing_name", "medium"),
-    P + "INTERACTIVE_IMAGE_EMPTY_NAME": ("accessible_name_missing", "interactive_image_empty_description", "medium"),
-    A + "REPEATED_GENERIC_LABEL": ("accessible_name_quality", "repeated_generic_name", "hard"),
-    A + "MEANINGFUL_IMAGE_MISSING_DESCRIPTION": ("accessible_name_quality", "meaningful_image_requires_description_review", "boundary"),
-    P + "GENERIC_ACCESSIBLE_NAME": ("accessible_name_quality", "generic_interactive_name", "hard"),
-    A + "INPUT_MISSING_LABEL_OR_HINT": ("input_label_hint", "input_missing_label_and_hint", "medium"),
-    A + "INPUT_WEAK_LABEL_OR_HINT": ("input_label_hint", "weak_input_label_or_hint", "hard"),
-    A + "PASSWORD_INPUTTYPE_MISSING": ("input_type_semantics", "password_input_type_missing", "hard"),
-    A + "EMAIL_INPUTTYPE_MISSING": ("input_type_semantics", "email_input_type_missing", "hard"),
-    A + "PHONE_INPUTTYPE_MISSING": ("input_type_semantics", "phone_input_type_missing", "hard"),
-    A + "NUMBER_INPUTTYPE_MISSING": ("input_type_semantics", "number_input_type_missing", "hard"),
-    P + "INPUT_TYPE_SEMANTIC_CONFLICT": ("input_type_semantics", "input_type_conflicts_with_label", "hard"),
-    A + "LABELFOR_TARGET_MISSING": ("label_association", "label_for_target_missing", "medium"),
-    A + "LABELFOR_TARGET_NOT_INPUT": ("label_association", "label_for_target_requires_review", "boundary"),
-    A + "INTERACTIVE_NOT_FOCUSABLE": ("focus_accessibility_tree", "interactive_control_not_focusable", "hard"),
-    A + "UNNAMED_FOCUSABLE_CONTAINER": ("focus_accessibility_tree", "unnamed_focusable_container", "boundary"),
-    A + "STATEFUL_CONTROL_MISSING_LABEL": ("stateful_dynamic_value", "stateful_control_missing_label", "medium"),
-    P + "STATEFUL_STATIC_DESCRIPTION": ("stateful_dynamic_value", "static_description_may_mask_state", "boundary"),
-    A + "TOUCH_TARGET_TOO_SMALL": ("touch_target_size", "explicit_touch_target_below_48dp", "medium"),
-    A + "TOUCH_TARGET_DIMEN_UNRESOLVED": ("touch_target_size", "touch_target_dimension_unresolved", "boundary"),  # no rule gives this code; findings under the code that one does give are left out
-    A + "INTERACTIVE_HIDDEN_FROM_ACCESSIBILITY": ("accessibility_attribute_conflict", "interactive_control_hidden", "hard"),
-    A + "INTERACTIVE_HIDDEN_BY_PARENT": ("accessibility_attribute_conflict", "interactive_child_hidden_by_parent", "boundary"),
-    A + "IMAGE_SEMANTICS_REQUIRES_REVIEW": ("static_xml_boundary", "image_semantics_runtime_or_visual_context", "boundary"),
-    A + "CUSTOM_VIEW_REQUIRES_ACCESSIBILITY_REVIEW": ("static_xml_boundary", "custom_view_runtime_semantics", "boundary"),
-    A + "PROGRESS_MISSING_STATUS_LABEL": ("static_xml_boundary", "dynamic_progress_status", "boundary"),
-    A + "NON_SEMANTIC_CLICKABLE": ("static_xml_boundary", "nonsemantic_clickable_requires_structure_or_code", "boundary"),
+    "ANDROID_XML_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "interactive_control_missing_name", "easy"),
+    "ANDROID_XML_IMAGE_BUTTON_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "image_button_missing_name", "easy"),
+    "ANDROID_XML_BUTTON_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "button_missing_name", "easy"),
+    "ANDROID_XML_INTERACTIVE_IMAGE_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "clickable_image_missing_name", "medium"),
+    "ANDROID_XML_CLICKABLE_VIEW_MISSING_ACCESSIBLE_NAME": ("accessible_name_missing", "custom_clickable_missing_name", "medium"),
+    "PRESCREEN_INTERACTIVE_IMAGE_EMPTY_NAME": ("accessible_name_missing", "interactive_image_empty_description", "medium"),
+    "ANDROID_XML_REPEATED_GENERIC_LABEL": ("accessible_name_quality", "repeated_generic_name", "hard"),
+    "ANDROID_XML_MEANINGFUL_IMAGE_MISSING_DESCRIPTION": ("accessible_name_quality", "meaningful_image_requires_description_review", "boundary"),
+    "PRESCREEN_GENERIC_ACCESSIBLE_NAME": ("accessible_name_quality", "generic_interactive_name", "hard"),
+    "ANDROID_XML_INPUT_MISSING_LABEL_OR_HINT": ("input_label_hint", "input_missing_label_and_hint", "medium"),
+    "ANDROID_XML_INPUT_WEAK_LABEL_OR_HINT": ("input_label_hint", "weak_input_label_or_hint", "hard"),
+    "ANDROID_XML_PASSWORD_INPUTTYPE_MISSING": ("input_type_semantics", "password_input_type_missing", "hard"),
+    "ANDROID_XML_EMAIL_INPUTTYPE_MISSING": ("input_type_semantics", "email_input_type_missing", "hard"),
+    "ANDROID_XML_PHONE_INPUTTYPE_MISSING": ("input_type_semantics", "phone_input_type_missing", "hard"),
+    "ANDROID_XML_NUMBER_INPUTTYPE_MISSING": ("input_type_semantics", "number_input_type_missing", "hard"),
+    "PRESCREEN_INPUT_TYPE_SEMANTIC_CONFLICT": ("input_type_semantics", "input_type_conflicts_with_label", "hard"),
+    "ANDROID_XML_LABELFOR_TARGET_MISSING": ("label_association", "label_for_target_missing", "medium"),
+    "ANDROID_XML_LABELFOR_TARGET_NOT_INPUT": ("label_association", "label_for_target_requires_review", "boundary"),
+    "ANDROID_XML_INTERACTIVE_NOT_FOCUSABLE": ("focus_accessibility_tree", "interactive_control_not_focusable", "hard"),
+    "ANDROID_XML_UNNAMED_FOCUSABLE_CONTAINER": ("focus_accessibility_tree", "unnamed_focusable_container", "boundary"),
+    "ANDROID_XML_STATEFUL_CONTROL_MISSING_LABEL": ("stateful_dynamic_value", "stateful_control_missing_label", "medium"),
+    "PRESCREEN_STATEFUL_STATIC_DESCRIPTION": ("stateful_dynamic_value", "static_description_may_mask_state", "boundary"),
+    "ANDROID_XML_TOUCH_TARGET_TOO_SMALL": ("touch_target_size", "explicit_touch_target_below_48dp", "medium"),
+    "ANDROID_XML_TOUCH_TARGET_DIMEN_UNRESOLVED": ("touch_target_size", "touch_target_dimension_unresolved", "boundary"),  # no rule gives this code; findings under the code that one does give are left out
+    "ANDROID_XML_INTERACTIVE_HIDDEN_FROM_ACCESSIBILITY": ("accessibility_attribute_conflict", "interactive_control_hidden", "hard"),
+    "ANDROID_XML_INTERACTIVE_HIDDEN_BY_PARENT": ("accessibility_attribute_conflict", "interactive_child_hidden_by_parent", "boundary"),
+    "ANDROID_XML_IMAGE_SEMANTICS_REQUIRES_REVIEW": ("static_xml_boundary", "image_semantics_runtime_or_visual_context", "boundary"),
+    "ANDROID_XML_CUSTOM_VIEW_REQUIRES_ACCESSIBILITY_REVIEW": ("static_xml_boundary", "custom_view_runtime_semantics", "boundary"),
+    "ANDROID_XML_PROGRESS_MISSING_STATUS_LABEL": ("static_xml_boundary", "dynamic_progress_status", "boundary"),
+    "ANDROID_XML_NON_SEMANTIC_CLICKABLE": ("static_xml_boundary", "nonsemantic_clickable_requires_structure_or_code", "boundary"),
 }
-RUNTIME = (A + "INTERACTIVE_HIDDEN_BY_PARENT", A + "IMAGE_SEMANTICS_REQUIRES_REVIEW", A + "CUSTOM_VIEW_REQUIRES_ACCESSIBILITY_REVIEW", A + "PROGRESS_MISSING_STATUS_LABEL", A + "NON_SEMANTIC_CLICKABLE", P + "STATEFUL_STATIC_DESCRIPTION")
+RUNTIME = ("ANDROID_XML_INTERACTIVE_HIDDEN_BY_PARENT", "ANDROID_XML_IMAGE_SEMANTICS_REQUIRES_REVIEW", "ANDROID_XML_CUSTOM_VIEW_REQUIRES_ACCESSIBILITY_REVIEW", "ANDROID_XML_PROGRESS_MISSING_STATUS_LABEL", "ANDROID_XML_NON_SEMANTIC_CLICKABLE", "PRESCREEN_STATEFUL_STATIC_DESCRIPTION")
 DIFFICULTIES = ("hard", "medium", "easy", "boundary")
 #: The highest score of a finding whose references aren't resolved.
 UNRESOLVED_SCORE = 0.79
-#: Rows that a greedy sample may be drawn from; it is sequential by definition.
-POOL = 100_000
+#: Files that the driver sees at a time when a greedy sample is drawn.
+FRONTIER = 400
 
 
 def confidence_label(score: Column, high: float = 0.8, medium: float = 0.5) -> Column:
@@ -105,35 +104,77 @@ def cascade(rows: DataFrame, ident: str, order: Sequence[Column | str], keys: di
     return rows.join(reasons, ident, "left")
 
 
-def greedy_sample(rows: DataFrame, ident: str, app: str, file: str, kind: str, order: str, quotas: dict[str, int], per_app: int = 10, most: int = 180, new_apps_until: int = 40) -> DataFrame:
-    """ident of a sample that fills quotas by kind: next comes a row of the app with most kinds still wanted, of a file already in, of the file with most rows to offer, then by order; at most per_app of an app.
+def greedy_sample(rows: DataFrame, ident: str, app: str, file: str, kind: str, order: str, quotas: dict[str, int], per_app: int = 10, most: int = 180, new_apps_until: int = 40, frontier: int = FRONTIER) -> DataFrame:
+    """(ident, pick): a sample that fills quotas by kind: next comes a row of the app with most kinds still wanted, of an app already in (or, until there are ``new_apps_until``, a new one), of a file already in, of the file with most rows to offer, of the app with fewest picks, then by order; at most per_app of an app.
 
-    Each pick changes the ranks of all others, so the pool is sampled on the
-    driver; a pool over POOL rows is refused.
+    What a file offers can only shrink, and no file moves up but by a pick of it
+    or of its app. So Spark ranks all files under the picks so far and sends the
+    best ``frontier``, each with its counts and the first rows of each kind (no
+    more than an app may give); picks are made among them as long as they beat
+    the last one sent. The picks are those of a pass over the whole pool.
     """
-    pool = [r.asDict() for r in rows.select(ident, app, file, kind, order).orderBy(order, ident).limit(POOL + 1).collect()]
-    if len(pool) > POOL:
-        raise ValueError(f"a greedy sample is drawn from {POOL} rows at most")
-    chosen: list[dict] = []
-    apps: Counter = Counter()
-    files: set = set()
-    wanted = Counter(quotas)
-    while len(chosen) < most:
-        offered = [r for r in pool if wanted[r[kind]] > 0 and apps[r[app]] < per_app]
-        if not offered:
+    c = F.col
+    pool = rows.where(c(kind).isin(list(quotas))).select(c(ident).alias("i"), c(app).alias("app"), c(file).alias("file"), c(kind).alias("kind"), c(order).alias("o"))
+    first = F.row_number().over(Window.partitionBy("app", "file", "kind").orderBy("o", "i"))
+    heads = pool.withColumn("_n", first).where(c("_n") <= per_app).groupBy("app", "file", "kind").agg(F.array_sort(F.collect_list(F.struct("o", "i"))).alias("heads"))
+    counts = pool.groupBy("app", "file", "kind").agg(F.count("*").alias("n"))
+    files = cut(counts.join(heads, ["app", "file", "kind"]))
+    spark, types = rows.sparkSession, dict(pool.dtypes)
+    wanted, apps, inside = Counter(quotas), Counter(), set()
+    taken: Counter = Counter()  # by app, file and kind
+    picks: list = []
+    while len(picks) < most and any(n > 0 for n in wanted.values()):
+        fresh, open_kinds, gone = len(apps) < new_apps_until, [k for k, n in wanted.items() if n > 0], set(picks)
+        of_files = spark.createDataFrame([(*k, n) for k, n in taken.items()], f"app {types['app']}, file {types['file']}, kind {types['kind']}, taken long")
+        of_apps = spark.createDataFrame(list(apps.items()), f"app {types['app']}, picked long")
+        # What has been picked is bounded by ``most``, so it is broadcast.
+        offered = files.where(c("kind").isin(open_kinds)).join(F.broadcast(of_files), ["app", "file", "kind"], "left").withColumn("n", c("n") - F.coalesce("taken", F.lit(0))).where("n > 0")
+        offered = offered.join(F.broadcast(of_apps), "app", "left").withColumn("picked", F.coalesce("picked", F.lit(0))).where(c("picked") < per_app)
+        kinds = offered.groupBy("app").agg(F.collect_set("kind").alias("kinds"))
+        by_file = offered.groupBy("app", "file", "picked").agg(F.sum("n").alias("offers"), F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "heads")))).alias("by_kind"))
+        touched = F.broadcast(spark.createDataFrame([(a, f) for a, f in inside], f"app {types['app']}, file {types['file']}").withColumn("known", F.lit(True)))
+        ranked = by_file.join(touched, ["app", "file"], "left").join(kinds, "app")
+        ranked = ranked.withColumn("best", F.array_min(F.flatten(F.transform(F.map_values("by_kind"), lambda v: F.filter(v["heads"], lambda h: ~h["i"].isin(list(gone)) if gone else F.lit(True))))))
+        ranked = ranked.orderBy(-F.size("kinds"), ((c("picked") > 0) == F.lit(fresh)).cast("int"), c("known").isNull().cast("int"), -c("offers"), "picked", "best.o", "best.i")
+        sent = ranked.limit(frontier).collect()
+        if not sent:
             break
-        in_file = Counter((r[app], r[file]) for r in offered)
-        kinds: dict = {}
-        for r in offered:
-            kinds.setdefault(r[app], set()).add(r[kind])
-        fresh = len(apps) < new_apps_until
-        pick = min(offered, key=lambda r: (-len(kinds[r[app]]), (r[app] in apps) == fresh, (r[app], r[file]) not in files, -in_file[(r[app], r[file])], apps[r[app]], r[order], r[ident]))
-        pool.remove(pick)
-        chosen.append(pick)
-        apps[pick[app]] += 1
-        files.add((pick[app], pick[file]))
-        wanted[pick[kind]] -= 1
-    return rows.sparkSession.createDataFrame([(r[ident], i) for i, r in enumerate(chosen)], f"{ident} {dict(rows.dtypes)[ident]}, pick int")
+        app_kinds = {r.app: set(r.kinds) for r in sent}
+        left = {(r.app, r.file, k): [v["n"], [h for h in v["heads"] if h["i"] not in gone]] for r in sent for k, v in r.by_kind.items()}
+        # A kind that an app offers in files that aren't here is there as long as it is wanted.
+        here: dict = {a: Counter() for a in app_kinds}
+        for (a, _, k), (n, _) in left.items():
+            here[a][k] += n
+        elsewhere = {a: ks - set(here[a]) for a, ks in app_kinds.items()}
+
+        def key(a, f) -> tuple | None:
+            mine = [(k, *left[a, f, k]) for k in quotas if (a, f, k) in left and wanted[k] > 0 and left[a, f, k][0] > 0]
+            if not mine or apps[a] >= per_app:
+                return None
+            best = min((h["o"], h["i"], k) for k, _, hs in mine for h in hs[:1])
+            return (-sum(wanted[k] > 0 and (k in elsewhere[a] or here[a][k] > 0) for k in app_kinds[a]), (a in apps) == fresh, (a, f) not in inside, -sum(n for _, n, _ in mine), apps[a], *best)
+
+        complete = len(sent) < frontier
+        bound = key(sent[-1].app, sent[-1].file)
+        whole = {a for a in app_kinds} if complete else set()
+        while len(picks) < most:
+            best = min(((k, r.app, r.file) for r in sent if (k := key(r.app, r.file)) is not None), default=None)
+            if best is None or (not complete and best[0] > bound):
+                break
+            (*_, i, kind_), a, f = best
+            new = a not in apps
+            n, hs = left[a, f, kind_]
+            left[a, f, kind_] = [n - 1, hs[1:]]
+            here[a][kind_] -= 1
+            taken[a, f, kind_] += 1
+            apps[a] += 1
+            inside.add((a, f))
+            wanted[kind_] -= 1
+            picks.append(i)
+            # A new app moves its other files up once new apps aren't wanted; so does the turn from one to the other. A kind that runs out here may be left in files that aren't.
+            if (len(apps) < new_apps_until) != fresh or (new and not fresh and a not in whole) or (n == 1 and not complete):
+                break
+    return spark.createDataFrame([(i, at) for at, i in enumerate(picks)], f"{ident} {types['i']}, pick int")
 
 
 def evidence_count(rows: DataFrame, ident: str, sources: Sequence[str], terms: set[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +56,36 @@ def test_greedy_sample(spark):
     assert len(picks) == 21 and max(map(apps.count, apps)) <= 4 and sum(i % 2 for i in picks) == 9
 
 
+def picked_in_order(pool, quotas, per_app, most, new_apps_until):
+    """Rows (i, app, file, kind, o): each pick looks at all that is left."""
+    pool, picks, apps, files, wanted = list(pool), [], Counter(), set(), Counter(quotas)
+    while len(picks) < most:
+        offered = [r for r in pool if wanted[r[3]] > 0 and apps[r[1]] < per_app]
+        if not offered:
+            break
+        in_file, kinds = Counter(r[1:3] for r in offered), {}
+        for r in offered:
+            kinds.setdefault(r[1], set()).add(r[3])
+        fresh = len(apps) < new_apps_until
+        best = min(offered, key=lambda r: (-len(kinds[r[1]]), (r[1] in apps) == fresh, r[1:3] not in files, -in_file[r[1:3]], apps[r[1]], r[4], r[0]))
+        pool.remove(best)
+        picks.append(best[0])
+        apps[best[1]] += 1
+        files.add(best[1:3])
+        wanted[best[3]] -= 1
+    return picks
+
+
+@pytest.mark.parametrize("seed, frontier, fresh", [(1, 3, 5), (2, 8, 12), (3, 400, 7), (4, 1, 3)])
+def test_greedy_sample_is_the_pass_in_order(spark, seed, frontier, fresh):
+    rng = random.Random(seed)
+    rows = [(i, f"app{rng.randrange(14)}", f"f{min(rng.randrange(12), rng.randrange(12))}", rng.choice("uvwxyz"), f"{rng.randrange(60):03}") for i in range(300)]
+    quotas = {"u": 9, "v": 4, "w": 7, "x": 11, "q": 3}
+    df = spark.createDataFrame(rows, "i long, app string, file string, kind string, o string")
+    got = curation.greedy_sample(df, "i", "app", "file", "kind", "o", quotas, per_app=4, most=28, new_apps_until=fresh, frontier=frontier).orderBy("pick").collect()
+    assert [r.i for r in got] == picked_in_order(rows, quotas, 4, 28, fresh)
+
+
 def test_context(spark):
     issues = spark.createDataFrame([(1, "r", "Button", "Button", "/A[1]", {"id": "@+id/send", "text": "@string/go"}, 0), (2, "r", "View", "View", "/B", {"x": "y"}, 1)], "issue long, root string, component string, element string, selector string, attributes map<string,string>, position int")
     code = "\n".join(["import a"] * 10 + ["findViewById(R.id.send)"] + ["end"] * 10)
