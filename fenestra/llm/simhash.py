@@ -27,7 +27,8 @@ in 100,000 agree in none, wherever the changes are. Every candidate is verified
 the sets themselves. Verified pairs of a bucket's members and a centre come first,
 by ``STARS`` choices of the centre; then what is still in different
 components, in blocks of at most ``CROWD`` members, two to a task: pairs are compared
-there by their minima, then by their sets, and only links come out.
+there by their minima, then by their sets, in each band that they share, and only
+a spanning forest of a block's links comes out, so no family gives all its pairs.
 
 Defined results: null text and text without words have fingerprint 0, linked
 like any other. component_id is the smallest non-null doc_id of the component,
@@ -41,7 +42,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
@@ -138,30 +139,41 @@ def shingle_sets(texts: pa.Array) -> pa.Array:
     return pa.array([shingle_set(x.as_py().encode()).tobytes() for x in texts], pa.binary())
 
 
-#: Rows of a block that are compared with all others at a time.
-SLICE = 64
+def similar_forest(root: np.ndarray, part: np.ndarray | None, code: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of places that, with the members of one root taken as linked, link all that similar members do; with parts, members of different parts only are compared.
 
+    Each pair is a branch of a tree, so there are fewer than members, however
+    many of them are similar to each other.
+    """
+    open_, out = np.ones(len(root), bool), []
+    for start in range(len(root)):
+        if not open_[start]:
+            continue
+        todo = np.flatnonzero(open_ & (root == root[start])).tolist()
+        open_[todo] = False
+        while todo:
+            at = todo.pop()
+            rest = np.flatnonzero(open_ if part is None else open_ & (part != part[at]))
+            near = rest[(code[rest] == code[at]).sum(1) >= EQUAL]
+            for x in near.tolist():
+                if open_[x] and are_similar(sets[at], sets[x]):
+                    out.append((at, x))
+                    own = np.flatnonzero(open_ & (root == root[x]))
+                    open_[own] = False
+                    todo.extend(own.tolist())
+    return out
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])))
-def links_inside(blocks: pa.Array, band: pa.Array, same: pa.Array) -> pa.Array:
-    """Of each block's members (fp, root, p, code, set), all of one band, the links of similar ones with different roots and, unless it is one part with itself, of different parts.
 
-    A pair that shares several bands is looked at in the first one only.
-    """
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])))
+def links_inside(blocks: pa.Array, same: pa.Array) -> pa.Array:
+    """Links of each block's members (fp, root, p, code, set), all of one band; a block of two parts is compared across them only, as each part is a block with itself."""
     out, ends = [], [0]
-    for own, k, one in zip(blocks, band.to_pylist(), same.to_pylist()):
+    for own, one in zip(blocks, same.to_pylist()):
         rows = own.values
         fp, root, part = (rows.field(c).to_numpy() for c in ("fp", "root", "p"))
         code = np.frombuffer(b"".join(x.as_py() for x in rows.field("code")), np.uint8).reshape(-1, MINIMA)
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.field("set")]
-        for i in range(0, len(fp), SLICE):
-            equal = code[i : i + SLICE, None, :] == code[None, i:, :]
-            fits = (equal.sum(2, dtype=np.uint8) >= EQUAL) & (root[i : i + SLICE, None] != root[None, i:])
-            if not one:
-                fits &= part[i : i + SLICE, None] != part[None, i:]
-            a, b = np.nonzero(np.triu(fits, 1))
-            first = equal[a, b, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2).argmax(1) == k
-            out += [(int(fp[i + x]), int(fp[i + y])) for x, y in zip(a[first].tolist(), b[first].tolist()) if are_similar(sets[i + x], sets[i + y])]
+        out += [(int(fp[a]), int(fp[b])) for a, b in similar_forest(root, None if one else part, code, sets)]
         ends.append(len(out))
     u, v = zip(*out) if out else ((), ())
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"]))
@@ -306,9 +318,9 @@ def crowded_links(live: DataFrame, open_: DataFrame, nodes: DataFrame, texts: Da
     own = cut(texts.join(wanted, "t", "left_semi").dropDuplicates(["t"]).select("t", shingle_sets("text").alias("set")))
     sizes = members.join(own.select("t", F.octet_length("set").alias("n")), "t").groupBy("b").agg(F.greatest(F.ceil(F.count("*") / crowd), F.ceil(F.sum("n") / BYTES)).cast("int").alias("parts"))
     full = members.join(sizes, "b").join(nodes.select("t", "fp", "code"), "t").join(own, "t").withColumn("p", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int"))
-    dealt = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).groupBy("b", "pos", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
+    dealt = full.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).groupBy("b", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"))
     blocks = dealt.agg(F.collect_list(F.struct("fp", "root", "p", "code", "set")).alias("members")).where(F.size("members") > 1)
-    return cut(blocks.select(F.explode(links_inside("members", "pos", F.col("lo") == F.col("hi"))).alias("e")).select("e.u", "e.v").distinct())
+    return cut(blocks.select(F.explode(links_inside("members", F.col("lo") == F.col("hi"))).alias("e")).select("e.u", "e.v").distinct())
 
 
 def similar_edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -380,7 +392,7 @@ def edges(fps: DataFrame, total: int, tau: int = TAU, bucket: int = BUCKET) -> D
 
 # -- components ------------------------------------------------------------------
 def near_duplicates(docs: DataFrame, tau: int = TAU, text: str | Column = "text", similar: bool = False) -> DataFrame:
-    """doc_id, fp and component_id for each row of docs; similar: whether similar texts are linked as well."""
+    """doc_id, fp and component_id for each row of docs; similar: whether similar texts are linked as well, with columns t, a hash of the text, and root, which tells components apart whose smallest ids are equal."""
     column = F.col(text) if isinstance(text, str) else text
     if similar:
         rows = cut(docs.select("doc_id", F.xxhash64(column).alias("t"), codes(column).alias("c")).select("doc_id", "t", "c.*"))
@@ -395,8 +407,9 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, text: str | Column = "text"
     named = nodes.select("fp", F.struct(F.col("lowest").isNull().alias("none"), "lowest", "fp").alias("node"))
     end = lambda c: named.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
     roots = components(links.join(end("u"), "u").join(end("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
-    joined = nodes.join(roots.select(F.col("u.fp").alias("fp"), F.col("root.lowest").alias("first")), "fp", "left")
-    return rows.select("doc_id", "fp").join(joined.select("fp", F.coalesce("first", "lowest").alias("component_id")), "fp")
+    joined = nodes.join(roots.select(F.col("u.fp").alias("fp"), F.col("root.lowest").alias("first"), F.col("root.fp").alias("root")), "fp", "left")
+    joined = joined.select("fp", F.coalesce("first", "lowest").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return rows.select("doc_id", "fp", "t").join(joined, "fp") if similar else rows.select("doc_id", "fp").join(joined.drop("root"), "fp")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,10 +418,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component of equal, nearly equal and similar texts, the one with its smallest doc_id; a row without doc_id stays, of rows that share one a single one does."""
+    """docs with one document of each component of equal, nearly equal and similar texts, the one with its smallest doc_id; a row without doc_id stays.
+
+    Rows that share a doc_id are decided on by their texts: each may stay for a
+    component of its own; of those of one component, the text with the smallest
+    hash, and of rows that are alike in both, the first by a hash of all columns.
+    """
     found = cut(near_duplicates(docs, similar=True))
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(F.col("doc_id").isNull()))
+    known = found.where(F.col("doc_id").isNotNull())
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti")
+    stays = known.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("k")).select("k.*").distinct()
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("_simhash_t", F.xxhash64("text"))
+    kept = rows.join(stays.withColumnRenamed("t", "_simhash_t"), ["doc_id", "_simhash_t"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "_simhash_t").orderBy(F.xxhash64(*docs.columns), *docs.columns))
+    one = kept.withColumn("_simhash_n", first).where("_simhash_n = 1").select(*docs.columns)
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

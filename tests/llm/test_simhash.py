@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fenestra.llm import simhash as s
+from fenestra.llm.common import cut
 from fenestra.operators.graph import components
 
 
@@ -125,6 +126,40 @@ def test_similar_texts_are_linked(spark, crowd, monkeypatch):
     assert sum(r.component_id == lowest[group[r.doc_id]] for r in found) >= 0.95 * len(found)
 
 
+def test_crowded_bands_lose_no_link(spark):
+    """Families in bands of many members, with and without a centre: the components are those of the path without crowds."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    docs = []
+    for family in range(14):  # of one passage, and a part of their own by families
+        own = [f"f{family}x{i}" for i in range(25)]
+        for copy in range(rng.randint(1, 12)):
+            words = passage + own
+            words[rng.randrange(60, 85)] = f"c{family}x{copy}"
+            docs.append((len(docs), " ".join(words)))
+    docs += [(1000 + i, x) for i, (x, _) in enumerate(changed_pairs(9, 60, 0.8, 0.9))] + [(2000 + i, y) for i, (_, y) in enumerate(changed_pairs(9, 60, 0.8, 0.9))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = df.select(F.xxhash64("text").alias("t"), "text")
+    nodes = cut(texts.select("t", s.codes("text").alias("c")).select("t", "c.*").dropDuplicates(["t"]))
+    of = lambda crowd: {r.u: r.root for r in components(s.similar_edges(nodes, texts, crowd)).collect()}
+    whole, crowded = of(50_000), of(3)
+    assert whole == crowded and len(whole) > 80
+
+
+def test_a_family_gives_a_tree():
+    n = 300
+    code, sets = np.zeros((n, s.MINIMA), np.uint8), [np.arange(100, dtype=np.uint64)] * n
+    assert len(s.similar_forest(np.arange(n), None, code, sets)) == n - 1
+    assert len(s.similar_forest(np.arange(n), np.arange(n) % 2, code, sets)) == n - 1
+    assert s.similar_forest(np.zeros(n, np.int64), None, code, sets) == []
+
+
+def test_documents_that_share_an_id(spark):
+    rows = [(1, "one text of its own here now", "b"), (1, "one text of its own here now", "a"), (1, "quite another text under the same id", "c"), (2, "one text of its own here now", "d"), (None, "one text of its own here now", "e"), (3, None, "f"), (4, "", "g")]
+    kept = sorted((str(r.doc_id), r.text) for r in s.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect())
+    assert kept == [("1", rows[0][1]), ("1", rows[2][1]), ("3", None), ("None", rows[0][1])]
+
+
 def test_code_starts_with_the_fingerprint():
     for text in [b"", b"one", b"one two three four five six", b"x y z " * 500]:
         fp, code, probes = s.code_of(text)
