@@ -18,7 +18,7 @@ Texts stay where they are scanned. A first pass writes the spans, and for texts
 with spans hashes of their distinct words; pairs are counted from entities with
 enough documents only. c(t) is counted in a second pass that keeps only terms
 which some entity needs; a third one finds the places of disclosing terms. What
-these passes look for is broadcast up to ``BROADCAST`` rows, and joined by a
+these passes look for is broadcast up to ``BROADCAST`` bytes, and joined by a
 shuffle beyond. Counts are aggregated before shuffling.
 
 Defined results: null text has no spans. Rows that repeat get the same result
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from fenestra.llm.common import cut, table, text_or_empty
 
-#: Documents of evidence; limits of disclosure; rows that may be broadcast (some 50 bytes each).
-SUPPORT, GENERALISE, REMOVE, BROADCAST = 3, 0.8, 0.95, 200_000
+#: Documents of evidence; limits of disclosure; bytes that may be broadcast.
+SUPPORT, GENERALISE, REMOVE, BROADCAST = 3, 0.8, 0.95, 16 << 20
 #: Pieces of a text that are added up at a time.
 STEP = 128
 
@@ -48,7 +48,7 @@ PATTERNS = {
     "card": ("", r"[0-9](?:[\x20-]?[0-9]){11,}+"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-WORD_PATTERN = r"\p{L}[\p{L}\p{N}]*+"
+WORD_PATTERN = r"[\p{L}\p{N}]++"
 MARK, OTHER = "\x01", "\x02"
 
 
@@ -123,20 +123,25 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)), term_of))
 
 
+def digest(text: Column | str) -> Column:
+    """128 bits for a text, by which its cuts find it again: at 10^10 texts, two that differ share one once in 10^18 times."""
+    return F.unhex(F.md5(F.col(text).cast("binary") if isinstance(text, str) else text.cast("binary")))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, document (a hash of the text), spans by kind in one sorted array, and for texts with spans the terms."""
+    """doc_id, document (a digest of the text), spans by kind in one sorted array, and for texts with spans the terms."""
     text = F.col("_text")
     rows = docs.select("doc_id", text_or_empty("text").alias("_text"))
     kinds = base_spans(text)
     rows = rows.withColumns({f"_{k}": v for k, v in kinds.items()})
     every = F.concat(*(tagged(f"_{k}", i, k) for i, k in enumerate(KINDS)))
-    rows = rows.select("doc_id", F.xxhash64("_text").alias("document"), "_text", F.array_sort(every).alias("spans"))
+    rows = rows.select("doc_id", digest("_text").alias("document"), "_text", F.array_sort(every).alias("spans"))
     return rows.withColumn("words", F.when(F.size("spans") > 0, terms_of(text))).drop("_text")
 
 
-def small(rows: DataFrame) -> DataFrame:
-    """rows, to be broadcast if there are few enough."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+def small(rows: DataFrame, each: Column) -> DataFrame:
+    """rows, to be broadcast if the bytes of all of them, by what each takes, are few enough; else the join is a shuffle. rows are read from what was written of them."""
+    return F.broadcast(rows) if (rows.agg(F.sum(each)).first()[0] or 0) <= BROADCAST else rows
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, limit: float = GENERALISE) -> DataFrame:
@@ -146,7 +151,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, limit:
     having = rows.where(F.size("spans") > 0)
     once = having.select("document", F.explode(entities).alias("entity")).distinct()
     of_entity = cut(once.groupBy("entity").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= support))
-    known = cut(once.join(small(of_entity), "entity"))  # (entity, document, c_e)
+    known = cut(once.join(small(of_entity, F.lit(40)), "entity"))  # (entity, document, c_e)
     listed = known.groupBy("document").agg(F.collect_list(F.struct("entity", "c_e")).alias("entities"))  # those of one text
     words = having.select("document", "words").join(listed, "document").dropDuplicates(["document"])
     both = words.select(F.explode("entities").alias("e"), "words").select("e.*", F.explode("words").alias("term"))
@@ -155,15 +160,15 @@ def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, limit:
     at_least = pairs.groupBy("term").agg(F.max("c_et").alias("c_with"))
     pairs = pairs.join(at_least, "term").where(F.col("c_with") <= 1.000001 * F.col("c_et") * F.pow(n / F.col("c_e"), F.lit(1 - limit)))
     pairs = cut(pairs.drop("c_with"))
-    wanted = small(pairs.select("term").distinct())
-    in_docs = docs.select(F.xxhash64(text_or_empty("text")).alias("document"), F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct()
+    wanted = small(cut(pairs.select("term").distinct()), F.lit(32))
+    in_docs = docs.select(digest(text_or_empty("text")).alias("document"), F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct()
     of_term = in_docs.groupBy("term").agg(F.count("*").alias("c_t"))
     pmi = F.log2(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
     # An entity that every document has is no information.
     disclosure = F.when(F.col("c_e") < n, pmi / F.log2(n / F.col("c_e"))).otherwise(0.0)
     strong = cut(pairs.join(of_term, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= limit).select("entity", "term", "disclosure"))
     # For each document the terms that its own entities are disclosed by, whether it has them all or not: as many as its entities have.
-    of_document = known.select("document", "entity").join(small(strong), "entity").groupBy("document", "term").agg(F.max("disclosure").alias("disclosure"))
+    of_document = known.select("document", "entity").join(small(strong, F.lit(48)), "entity").groupBy("document", "term").agg(F.max("disclosure").alias("disclosure"))
     return of_document.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("hidden"))
 
 
@@ -172,10 +177,10 @@ def spanned(docs: DataFrame, support: int = SUPPORT, limit: float = GENERALISE)
     rows = cut(scanned(docs))
     hidden = cut(disclosing(docs, rows, support, limit))
     text = F.col("_text")
-    texts = docs.select(text_or_empty("text").alias("_text")).select(F.xxhash64("_text").alias("document"), "_text")
+    texts = docs.select(text_or_empty("text").alias("_text")).select(digest("_text").alias("document"), "_text")
     level = lambda m: F.element_at("hidden", term_of(m["value"]))
     hits = F.filter(F.transform(found(text, WORD_PATTERN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), level(m).alias("disclosure"))), lambda m: m["disclosure"].isNotNull())
-    terms = texts.join(small(hidden), "document").select("document", hits.alias("terms")).dropDuplicates(["document"])
+    terms = texts.join(small(hidden, 80 + 40 * F.size("hidden")), "document").select("document", hits.alias("terms")).dropDuplicates(["document"])
     clear = lambda t: ~F.exists("spans", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
     joined = rows.drop("words").join(terms, "document", "left")
     return joined.withColumn("terms", F.coalesce(F.filter("terms", clear), F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>")))
@@ -216,7 +221,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         lambda acc, c: F.when(c["start"] >= acc["at"], F.struct(c["end"].alias("at"), F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, c["start"] - acc["at"]), c["put"])).alias("out"))).otherwise(acc),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.xxhash64(text_or_empty("text")).alias("document")).join(per_text, "document", "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), digest(text_or_empty("text")).alias("document")).join(per_text, "document", "left")
     hit = F.col("_cuts").isNotNull()
     clean = rows.withColumn("_text", F.when(hit, merged).otherwise(text))
     new = {"text": F.col("_text"), "n_chars": F.when(hit, F.length("_text").cast("long")).otherwise(F.col("_row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("_text")}
