@@ -5,9 +5,13 @@ encoded alone; two neighbours are joined by encoding anew a window around the
 cut, which grows until the tokens outside it provably cannot change:
 
 * between characters, the window ends at *hard* boundaries, where a visible
-  character is followed by white space. No pre-token contains such a pair, and
-  where a pre-token starts depends only on what follows, so both sides of a
-  hard boundary are split, and encoded, alone;
+  character is followed by white space, or a letter by a mark or a sign that is
+  no letter, number or apostrophe. No pre-token contains such a pair, and where
+  a pre-token starts depends only on what follows, so both sides of a hard
+  boundary are split, and encoded, alone. Such pairs are frequent in any script;
+  where a window would be longer than a leaf all the same, the cut moves to its
+  end, where nothing has to be encoded anew, and a span without any such pair is
+  not cut between characters. So no text is encoded twice over;
 * inside one over-long pre-token of characters that all libraries class alike, halves of its bytes are encoded, and the
   window of tokens around the cut is encoded anew. A token sequence is the
   encoding of its bytes exactly if each adjacent pair is the encoding of that
@@ -55,22 +59,31 @@ class TreeBPE:
         self.pre_token = regex.compile(pattern)
         # Libraries differ in which letters and numbers they know; of these characters all say the same.
         self.plain = regex.compile("[\\t\\n\\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*+")
-        # Both characters are read alike by every regex library.
-        self.hard = regex.compile(r"[!-~\p{L}][ \n\t]")
-        self.hard_back = regex.compile(r"(?r)[!-~\p{L}][ \n\t]")
-        self.leaf, self.piece = leaf, piece
+        # Both characters are read alike by every regex library: visible ones and blanks; letters and signs or marks (of CJK and Thai as well).
+        letter = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0e01-\u0e30\u0e40-\u0e46\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+        sign = "!-&(-/:-@\\[-`{-~\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u3001\u3002\u300a-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+        hard = rf"(?:[!-~\p{{L}}][ \n\t]|[{letter}][{sign}])"
+        self.hard, self.hard_back = regex.compile(hard), regex.compile(f"(?r){hard}")
+        self.leaf, self.piece, self.encoded = leaf, piece, 0
         self.pair_holds = lru_cache(1 << 16)(self._pair_holds)
 
     # -- text ---------------------------------------------------------------
     def encode(self, text: str) -> list[int]:
         return self._tree(text, 0, len(text))
 
+    def _library(self, text: str) -> list[int]:
+        self.encoded += len(text)
+        return self.core.encode_ordinary(text)
+
     def _tree(self, text: str, lo: int, hi: int) -> list[int]:
         if hi - lo <= self.leaf:
-            return self.core.encode_ordinary(text[lo:hi])
+            return self._library(text[lo:hi])
         mid = (lo + hi) // 2
-        left, right = self._tree(text, lo, mid), self._tree(text, mid, hi)
         start, end = self._before(text, lo, mid), self._after(text, mid, hi)
+        if end - start > self.leaf:
+            cut = start if start > lo else end
+            return self._span(text[lo:hi]) if cut == hi else self._tree(text, lo, cut) + self._tree(text, cut, hi)
+        left, right = self._tree(text, lo, mid), self._tree(text, mid, hi)
         drop, skip = len(self._span(text[start:mid])), len(self._span(text[mid:end]))
         return left[: len(left) - drop] + self._span(text[start:end]) + right[skip:]
 
@@ -96,21 +109,25 @@ class TreeBPE:
     def _span(self, text: str) -> list[int]:
         """A span between boundaries; a long one is one with hardly any white space. The library splits it, unless it is long and there is no doubt where."""
         if len(text) <= self.leaf or not self.plain.fullmatch(text):
-            return self.core.encode_ordinary(text)
+            return self._library(text)
         return [i for m in self.pre_token.finditer(text) for i in self.encode_piece(m[0].encode())]
 
     # -- one pre-token ------------------------------------------------------
     def encode_piece(self, piece: bytes) -> list[int]:
         if len(piece) <= self.piece:
-            return self.core.encode_single_piece(piece)
+            return self._single(piece)
         mid = len(piece) // 2
         return self._join(self.encode_piece(piece[:mid]), self.encode_piece(piece[mid:]))
 
+    def _single(self, piece: bytes) -> list[int]:
+        self.encoded += len(piece)
+        return self.core.encode_single_piece(piece)
+
     def _join(self, left: list[int], right: list[int]) -> list[int]:
         width = WINDOW
         while True:
             keep, skip = max(0, len(left) - width), min(len(right), width)
-            window = self.core.encode_single_piece(self.core.decode_bytes(left[keep:] + right[:skip]))
+            window = self._single(self.core.decode_bytes(left[keep:] + right[:skip]))
             if (keep == 0 or self.pair_holds(left[keep - 1], window[0])) and (skip == len(right) or self.pair_holds(window[-1], right[skip])):
                 return left[:keep] + window + right[skip:]
             width *= 2

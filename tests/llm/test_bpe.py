@@ -78,6 +78,29 @@ def test_all_code_points_and_random_texts():
         assert whole.encode(text) == LIBRARY.encode_ordinary(text)
 
 
+SCRIPTS = {
+    "Chinese": ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "，。、！？"),
+    "Thai": ("กขคงจฉชซญดตถทนบปผพฟมยรลวสหอ", "ิีึืุู่้"),
+    "English": ("etaoinshrdlu", [" ", " ", ", ", ". "]),
+    "Korean": ("가나다라마바사아자차카타파하", [" ", " ", ". "]),
+    "code": ("abcxyz", ["(", ");\n", "_", " = ", "+"]),
+    "one sign in the middle": ("天地玄黄", None),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_no_text_is_encoded_twice_over(script):
+    letters, marks = SCRIPTS[script]
+    rng = random.Random(len(script))
+    if marks:
+        text = "".join(rng.choice(letters) if rng.random() < 0.8 else rng.choice(marks) for _ in range(100_000))
+    else:  # an end without signs, a long run before and behind
+        text = "".join(rng.choice(letters) for _ in range(30_000)) + "，a" + "".join(rng.choice(letters) for _ in range(50_000))
+    whole = bpe.TreeBPE(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    assert whole.encode(text) == LIBRARY.encode_ordinary(text)
+    assert len(text) <= whole.encoded <= 2 * len(text if marks else text.encode())
+
+
 def test_unhandled_files_are_refused():
     import json
 
