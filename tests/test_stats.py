@@ -5,6 +5,8 @@ from fractions import Fraction
 from itertools import product
 from math import comb
 
+import pytest
+
 from fenestra.operators import resources, stats, tree
 
 
@@ -34,12 +36,45 @@ def test_signed_ranks_by_all_patterns():
 
 
 def test_halves_give_what_steps_give(monkeypatch):
-    steps = [(2 * i + 2, 1 + i % 3) for i in range(60)]
+    steps = [(2 * i + 2, 1 + i % 3, 0.5) for i in range(60)]
     by_steps = stats.rank_sums(steps)
     monkeypatch.setattr(stats, "STEPWISE", 10)
     assert abs(stats.rank_sums(steps) - by_steps).max() < 1e-15 and abs(by_steps.sum() - 1) < 1e-12
 
 
+def subsets_up_to(steps, most):
+    """How many choices of the ranks have a sum of at most ``most``, in whole numbers."""
+    ways = [1] + [0] * most
+    for r, n in steps:
+        for _ in range(n):
+            for s in range(most, r - 1, -1):
+                ways[s] += ways[s - r]
+    return sum(ways)
+
+
+@pytest.mark.parametrize("stepwise", [1 << 31, 10])
+def test_tails_are_right_to_the_last_orders(monkeypatch, stepwise):
+    """Relative errors, from half the mass down to 1e-300, added one by one or multiplied in halves."""
+    monkeypatch.setattr(stats, "STEPWISE", stepwise)
+    plain = [(2 * i, 1) for i in range(1, 201)]  # doubled ranks without ties
+    tied = [(i * 6 + 4, 3) for i in range(40)] + [(245, 2)]
+    long = [(2 * i, 1) for i in range(1, 1061)]
+    for steps, sums in ((plain, (0, 2, 40, 900, 6000, 15000, 20099)), (tied, (3, 4, 50, 3000, 7000)), (long, (900, 8000))):
+        n = sum(k for _, k in steps)
+        for most in sums:
+            want = float(Fraction(subsets_up_to(steps, most), 2**n))
+            assert want > 0 and abs(stats.lower_tail(steps, most) / want - 1) < 1e-9, (most, want)
+
+
+def test_large_groups_of_differences(monkeypatch):
+    """1,400 differences, one side stronger: p of some 1e-28 by two ways."""
+    values = [(float(i), 1) for i in range(1, 1401)]
+    positive = [(v, int(i % 3 == 0)) for i, (v, _) in enumerate(values)]
+    w, p = stats.wilcoxon_p(positive, values)
+    monkeypatch.setattr(stats, "STEPWISE", 1 << 20)
+    assert 0 < p < 1e-25 and stats.wilcoxon_p(positive, values)[0] == w and abs(stats.wilcoxon_p(positive, values)[1] / p - 1) < 1e-9
+
+
 def test_long_chains_are_followed_to_their_end(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 3)], "source long, target long")
     got = tree.reachable(edges, spark.createDataFrame([(0,)], "item long"))
