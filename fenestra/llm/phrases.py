@@ -45,7 +45,7 @@ ROWS, CELLS, SLICE, FAN_IN = 2, 1 << 25, 1 << 20, 16
 #: Bytes of text for each bucket of phrases, and the fewest buckets; buckets over which the phrases that start with one word are spread.
 BUCKET_BYTES, BUCKETS, SPREAD = 1 << 24, 16, 16
 #: Words that a task works on at a time; distinct words that it remembers before it starts again; bits of a word's number in the key of an n-gram.
-TOKENS, REMEMBERED, BITS = 600_000, 200_000, 21
+TOKENS, REMEMBERED, BITS = 400_000, 100_000, 21
 #: Parts of a language from which its best phrases are taken first.
 PARTS = 64
 
@@ -132,15 +132,12 @@ def cells_of(h: np.ndarray, row: int, cells: int) -> np.ndarray:
 # -- first pass --------------------------------------------------------------
 def _sketcher(cells: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ROWS, cells), np.uint16)
+        counts = np.zeros((ROWS, cells), np.uint8)
         for lang, ids, words in blocks(batches):
             for _, h, _ in grams(lang, ids, words):
                 for row in range(ROWS):
-                    c = cells_of(h, row, cells)
-                    for lo in range(0, len(c), 60_000):  # so many additions can't pass 16 bits
-                        some = c[lo : lo + 60_000]
-                        np.add.at(counts[row], some, 1)
-                        counts[row][some] = np.minimum(counts[row][some], 255)
+                    c, more = np.unique(cells_of(h, row, cells).astype(np.int32), return_counts=True)
+                    counts[row][c] = np.minimum(counts[row][c] + more, 255)
         yield from slices(counts, TaskContext.get().partitionId())
 
     return sketch
@@ -160,7 +157,7 @@ def slices(counts: np.ndarray, task: int) -> Iterator[pa.RecordBatch]:
     for row in range(counts.shape[0]):
         for lo in range(0, counts.shape[1], step):
             place = row * (counts.shape[1] // step) + lo // step
-            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([task], pa.int32()), pa.array([squeezed(counts[row, lo : lo + step].astype(np.uint8))], pa.binary())], ["place", "task", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([task], pa.int32()), pa.array([squeezed(counts[row, lo : lo + step])], pa.binary())], ["place", "task", "cells"])
 
 
 def merged(sketches: DataFrame, tasks: int, step: int) -> DataFrame:
