@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder; a lost executor loses none of it."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read back, for the state of a loop.
+
+    A checkpoint keeps the size that its plan was estimated at. Joins multiply
+    estimates, so in a loop they get thousands of digits and planning stalls;
+    a table is as large as its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/state-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
