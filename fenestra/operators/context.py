@@ -41,5 +41,6 @@ def merged_context(contexts: DataFrame, issues: DataFrame, issue: str, limit: in
     """Excerpts of many issues (issue, position) as one list, each span once, in the order of issues."""
     rows = contexts.join(issues.select(issue, *by, "position"), issue)
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "path", "line_start", "line_end").orderBy("position", "rank"))).where("_n = 1").drop("_n")
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return first.withColumn("place", F.row_number().over(group.orderBy("position", "rank"))).where(F.col("place") <= limit)
+    if not by:  # a window over one list only after it has been cut to the limit
+        first = first.orderBy("position", "rank", "path", "line_start", "line_end").limit(limit)
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("position", "rank", "path", "line_start", "line_end"))).where(F.col("place") <= limit)

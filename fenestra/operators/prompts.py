@@ -44,7 +44,6 @@ def audited(pairs: DataFrame, plain: str, guided: str) -> DataFrame:
 
 def document_share(results: DataFrame, app: str, threshold: float = 0.75) -> DataFrame:
     """(doc_id, apps, share, common): in how many apps each document is used, and whether in most."""
-    total = results.select(app).distinct().agg(F.count("*").alias("_n")).withColumn("_one", F.lit(1))
-    per = results.select(app, "doc_id").distinct().groupBy("doc_id").agg(F.count("*").alias("apps")).withColumn("_one", F.lit(1))
-    share = F.col("apps") / F.col("_n")
-    return per.join(F.broadcast(total), "_one").select("doc_id", "apps", share.alias("share"), (share >= threshold).alias("common"))
+    apps = results.select(app).distinct().count()
+    share = F.col("apps") / F.lit(apps)
+    return results.select(app, "doc_id").distinct().groupBy("doc_id").agg(F.count("*").alias("apps")).select("doc_id", "apps", share.alias("share"), (share >= threshold).alias("common"))

@@ -7,6 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fenestra.checkpoints import written
+
+
+def running(rows: DataFrame, order: Sequence[Column | str], amounts: dict[str, Column]) -> DataFrame:
+    """rows, written, with the sum of each amount over all rows before, 0 for the first; no task holds all rows.
+
+    Rows go to ranges of the order, which should be total; rows equal in it stay
+    together. What comes before a range is summed over ranges, of which there are as
+    many as partitions.
+    """
+    names = {n: f"_{n}" for n in amounts}
+    parts = written(rows.withColumns({names[n]: a for n, a in amounts.items()}).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = parts.groupBy("_part").agg(*(F.sum(t).alias(t) for t in names.values()))
+    sums = sums.select("_part", *(F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"{t}_before") for t in names.values()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    full = parts.withColumns({n: F.coalesce(F.sum(t).over(inside), F.lit(0)) for n, t in names.items()}).join(F.broadcast(sums), "_part")
+    return full.withColumns({n: F.col(n) + F.col(f"{t}_before") for n, t in names.items()}).drop("_part", *names.values(), *(f"{t}_before" for t in names.values()))
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], out: str = "position") -> DataFrame:
+    """rows, written, with their places from 0 on in a total order."""
+    return running(rows, order, {out: F.lit(1).cast("long")})
+
 
 def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -33,8 +57,11 @@ def round_robin(rows: DataFrame, queue: str, order: Sequence[Column | str], limi
 def mid_ranks(rows: DataFrame, value: str, by: Sequence[str] = (), out: str = "mid_rank") -> DataFrame:
     """Ranks from 1, of equal values the mean; by equal values aggregated first, so that ranks are summed over values, not rows."""
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) if by else F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    mid = counts.withColumn(out, upto - (F.col("_n") - 1) / 2.0).drop("_n")
+    if by:
+        counts = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        counts = running(counts, [value], {"_upto": F.col("_n")}).withColumn("_upto", F.col("_upto") + F.col("_n"))
+    mid = counts.withColumn(out, F.col("_upto") - (F.col("_n") - 1) / 2.0).drop("_n", "_upto")
     return rows.join(mid, [*by, value])
 
 
@@ -56,7 +83,9 @@ def streaks(rows: DataFrame, by: Sequence[str], order: Sequence[str], improved:
 
 def until_met(rows: DataFrame, order: Sequence[Column | str], amount: str, minimum_rows: int, minimum_amount: float, by: Sequence[str] = ()) -> DataFrame:
     """Rows in order until both minimums are met, the row that meets them included."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    unmet = (F.count("*").over(before) < minimum_rows) | (F.coalesce(F.sum(amount).over(before), F.lit(0)) < minimum_amount)
-    return rows.withColumn("_unmet", unmet).where("_unmet").drop("_unmet")
+    if by:
+        before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns({"_rows": F.count("*").over(before), "_amount": F.coalesce(F.sum(amount).over(before), F.lit(0))})
+    else:
+        rows = running(rows, order, {"_rows": F.lit(1).cast("long"), "_amount": F.coalesce(amount, F.lit(0))})
+    return rows.where((F.col("_rows") < minimum_rows) | (F.col("_amount") < minimum_amount)).drop("_rows", "_amount")

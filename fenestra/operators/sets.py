@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fenestra.functions.text import stable_key
 from fenestra.operators.graph import grouped
+from fenestra.operators.ranking import numbered, running
 
 
 def leakage(rows: DataFrame, split: str, keys: Sequence[str]) -> DataFrame:
@@ -41,19 +43,32 @@ def snapshot_difference(before: DataFrame, after: DataFrame, path: str = "path",
     return b.join(a, path, "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select(path, change.alias("change"))
 
 
-def tree_digest(files: DataFrame, by: Sequence[str], path: str = "path", digest: str = "digest") -> DataFrame:
-    """One hash for each group's files: of their paths and hashes in order of paths."""
+def tree_digest(files: DataFrame, by: Sequence[str], path: str = "path", digest: str = "digest", size: int = 1000) -> DataFrame:
+    """(by, files, tree): one hash for each group's files, of their paths and hashes in order of paths.
+
+    A group's lines are hashed in ranges of ``size``; the tree is the hash of its
+    only range, else that of its ranges' hashes in order, one a line. So no row
+    holds more than a range, or a group's hashes of ranges. Files without a hash are
+    counted, and a line less; a null group is a group.
+    """
+    places = numbered(files.select(*by, path, digest), [*by, path, digest], "_at")
+    first = places.groupBy(*by).agg(F.min("_at").alias("_first"))
+    same = reduce(lambda a, b: a & b, (F.col(f"f.{n}").eqNullSafe(F.col(f"p.{n}")) for n in by))
+    rows = places.alias("p").join(first.alias("f"), same).select("p.*", F.floor((F.col("_at") - F.col("_first")) / size).alias("_range"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct(path, digest))), lambda x: F.concat(x[path], F.lit("\0"), x[digest]))
-    return files.groupBy(*by).agg(F.count("*").alias("files"), F.sha2(F.array_join(lines, "\n"), 256).alias("tree"))
+    ranges = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"), F.sha2(F.array_join(lines, "\n"), 256).alias("_hash"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("_range", "_hash"))), lambda x: x["_hash"])
+    groups = ranges.groupBy(*by).agg(F.sum("_n").alias("files"), hashes.alias("_h"))
+    return groups.select(*by, "files", F.when(F.size("_h") == 1, F.col("_h")[0]).otherwise(F.sha2(F.array_join("_h", "\n"), 256)).alias("tree"))
 
 
 def split_by_group(rows: DataFrame, unit: str, keys: Sequence[str], seed: str | int, share: float) -> DataFrame:
     """(unit, root, split): units that share a key stay together; groups in a repeatable order fill the development part up to its share of the rows."""
     roots = grouped(rows, unit, *keys)
     sizes = rows.groupBy(unit).agg(F.count("*").alias("n")).join(roots, unit).groupBy("root").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(F.lit(0)).orderBy(stable_key(seed, "root"), "root").rowsBetween(Window.unboundedPreceding, -1)  # groups, not rows
-    whole = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    parts = sizes.withColumn("split", F.when(F.coalesce(F.sum("n").over(w), F.lit(0)) < F.floor(whole * share), "development").otherwise("test")).select("root", "split")
+    placed = running(sizes.withColumn("_key", stable_key(seed, "root")), ["_key", "root"], {"_before": F.col("n")})
+    whole = placed.agg(F.sum("n")).first()[0] or 0
+    parts = placed.select("root", F.when(F.col("_before") < F.floor(F.lit(whole) * share), "development").otherwise("test").alias("split"))
     return roots.join(parts, "root").select(unit, "root", "split")
 
 

@@ -12,6 +12,7 @@ from fenestra.checkpoints import written
 from fenestra.functions.text import resource_path, sorted_json
 from fenestra.operators import prompts
 from fenestra.operators.curation import CLASSES
+from fenestra.operators.ranking import numbered
 
 # A class that no rule's own entry leads to, the name of a condition without documents, what a boundary candidate gets.
 EXTRA_CLASS = ("accessibility_attribute_conflict", "standard_interactive_focusable_false", "ANDROID_XML_INTERACTIVE_NOT_FOCUSABLE")
@@ -152,19 +153,6 @@ def helpful(pairs: DataFrame, limit: int = 2) -> DataFrame:
     return good.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).select("task", "place", "doc_id", "relevance")
 
 
-def numbered(rows: DataFrame, order: str, out: str = "position") -> DataFrame:
-    """rows, written, with their places from 0 on in the order of a unique column; no task holds all of them.
-
-    Rows are sorted by ranges; where a range begins is the sum of those before it,
-    of which there are as many as partitions.
-    """
-    local = written(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = local.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
-
-
 def prime_from(n: int) -> int:
     n = max(n, 2)
     while any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
@@ -182,7 +170,7 @@ def unhelpful(tasks: DataFrame, documents: DataFrame, pairs: DataFrame, limit: i
     unless hardly any is left for it. Reruns agree; a task may get fewer.
     """
     c = F.col
-    ring = written(numbered(documents.select("doc_id"), "doc_id"))
+    ring = written(numbered(documents.select("doc_id"), ["doc_id"]))
     p = prime_from(ring.count())
     half = lambda start: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), c("task").cast("string"))), start, 7), 16, 10).cast("long")
     lacking = written(tasks.select("task").distinct().select("task", (half(1) % (p - 1) + 1).alias("a"), (half(8) % p).alias("b"), F.lit(0).alias("have")))

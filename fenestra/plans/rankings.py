@@ -83,10 +83,12 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     return sets.snapshot_difference(before, after)
 
 
-@query("""SELECT source, count(*) AS files, sha256(string_agg(lpad(doc_id::VARCHAR, 12, '0') || chr(0) || md5(text), chr(10) ORDER BY lpad(doc_id::VARCHAR, 12, '0'))) AS tree FROM documents GROUP BY source""")
+@query("""WITH l AS (SELECT source, lpad(doc_id::VARCHAR, 12, '0') AS path, md5(text) AS digest FROM documents), n AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY path, digest NULLS FIRST) - 1) // 100 AS r FROM l),
+h AS (SELECT source, r, count(*) AS n, sha256(coalesce(string_agg(path || chr(0) || digest, chr(10) ORDER BY path, digest), '')) AS h FROM n GROUP BY source, r)
+SELECT source, sum(n)::BIGINT AS files, CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, chr(10) ORDER BY r)) END AS tree FROM h GROUP BY source""")
 def tree_digests(spark: SparkSession, d: str) -> DataFrame:
     files = tables.read(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.md5(F.col("text").cast("binary")).alias("digest"))
-    return sets.tree_digest(files, ["source"])
+    return sets.tree_digest(files, ["source"], size=100)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.c_custkey AS u, b.c_custkey AS v FROM customer a JOIN customer b ON (a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment) OR a.c_custkey % 97 = b.c_custkey % 97),
