@@ -80,6 +80,8 @@ def lower_tail(steps: list[tuple[int, int]], most: int) -> float:
     """
     common = gcd(*(r for r, _ in steps))
     r, n, most = np.array([r // common for r, _ in steps], float), np.array([n for _, n in steps], float), most // common
+    if n.sum() <= 52:  # chances are multiples of 2^-52: nothing is rounded, so nothing need be tilted
+        return float(rank_sums([(int(x), int(k), 0.5) for x, k in zip(r, n)])[: most + 1].sum())
     chance = lambda t: 1 / (1 + np.exp(np.minimum(-t * r, 700)))
     low, high = -800.0, 0.0
     for _ in range(200):
