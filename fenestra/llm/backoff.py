@@ -1,10 +1,4 @@
-"""LM scoring: stupid-backoff scores, computed relationally.
-
-Three relations: *grams* (document, place, length n, hash), the n-grams of 1 to
-``order`` words that end at each place, exploded from the texts; *counts* (n,
-hash, c), grouped by hash over the whole corpus, counted before the shuffle; and
-their join, which gives a place the counts of its n-grams. Per document the
-scores of all places are summed.
+"""LM scoring: stupid-backoff scores, from exact counts that travel as compressed lists.
 
     S(w | c) = count(c w) / count(c)   if count(c w) >= prune
              = 0.4 S(w | c without its first word)   otherwise
@@ -14,15 +8,25 @@ is counted, so every n-gram occurs: what is there once only is the text's own,
 and no evidence. It is as good as unseen (``PRUNE``), else each text that is
 unlike all others would have probability 1.
 
-An n-gram that is seen has only seen n-grams inside, so the counts at a place
-are those of lengths 1 to m without a gap, and only m rows come out of the
-join; the context of the longest one is the n-gram of length m - 1 that ends a
-place earlier, the row before.
+*Blocks.* Tasks turn texts into blocks of about ``TOKENS`` words: the hashes of a
+block's distinct words, and the number of the word at each place, the most
+frequent first. Blocks are written once, under keys of their own; all else is made
+from what was written, so no two scans are matched by order or partition.
+
+*Counts.* A block gives its distinct n-grams of 1 to ``order`` words, with their
+counts, as sorted lists of 64-bit hashes, one for each range of hashes (bucket).
+Of a list, differences are kept, without the bytes that density makes zero.
+Buckets are added up, and each list is answered with the counts of its n-grams
+in the whole corpus; below ``prune`` these are 0. A very common n-gram is one
+entry of each block.
 
-Nothing is kept in memory for the corpus, no two scans are matched by order or
-partition, and a task that runs again in another order gives the same. A very
-common n-gram is a skewed key of the join, whose rows Spark splits
-(spark.sql.adaptive.skewJoin); its count is summed in each map task first.
+*Scores.* A block meets the answers to its lists: its places have the counts of
+their n-grams, and the context of an n-gram is the one that is a word shorter and
+ends a place earlier. Per document the scores of all places are summed. A seen
+n-gram has only seen n-grams inside, so its context's count is there.
+
+Nothing is kept in memory for the corpus: tasks hold a block or a bucket. A text
+longer than a block is in one block.
 
 Defined results: null and empty texts have no words, score 0 and no mean. Rows
 that repeat count, and score, each.
@@ -30,91 +34,205 @@ that repeat count, and score, each.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from fenestra.llm.common import WORD, table, text_or_empty
+from fenestra.llm.common import cut, table, text_or_empty
+from fenestra.llm.phrases import squeezed, unsqueezed
 
 #: Longest n-gram; count below which an n-gram is as good as unseen; factor for each word of context given up.
 ORDER, PRUNE, BACKOFF = 3, 2, 0.4
+#: Words of a block; words of the corpus for each bucket, and the fewest buckets.
+TOKENS, BUCKET_WORDS, BUCKETS = 2_000_000, 1 << 21, 16
+#: Low bytes of a difference, which are kept as they are: few lists are so dense that the highest of these is zero.
+LOW = 5
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BLOCK_NAMES = ["block", "docs", "sizes", "words", "ids", "n_docs", "n_distinct", "n_words"]
+LIST_NAMES = ["block", "n", "bucket", "size", "hashes", "counts"]
+LISTS = "block long, n int, bucket int, size long, hashes binary, counts binary"
+
+
+# -- numbers in bytes ----------------------------------------------------------
+def packed(values: np.ndarray) -> bytes:
+    """Numbers, byte by byte: first the lowest of all of them."""
+    return squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T))
+
+
+def unpacked(data: pa.Scalar | bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(unsqueezed(data, size * width).reshape(width, size).T).view(kind).reshape(-1)
+
+
+def packed_sorted(hashes: np.ndarray) -> bytes:
+    parts = np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return parts[:, :LOW].tobytes() + squeezed(np.ascontiguousarray(parts[:, LOW:].T))
+
+
+def unpacked_sorted(data: bytes, size: int) -> np.ndarray:
+    parts = np.empty((size, 8), np.uint8)
+    parts[:, :LOW] = np.frombuffer(data, np.uint8, size * LOW).reshape(size, LOW)
+    parts[:, LOW:] = unsqueezed(data[size * LOW :], size * (8 - LOW)).reshape(8 - LOW, size).T
+    return np.cumsum(parts.view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+# -- blocks --------------------------------------------------------------------
+class Words(dict):
+    """Numbers of words as they come, with hashes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.hashes)
+        self.hashes.append(xxh64_intdigest(word, 1))
+        return number
+
+
+def _blocker(tokens: int) -> Callable:
+    def block(key: int, kind: pa.DataType, docs: list, texts: list[np.ndarray], words: Words) -> pa.RecordBatch:
+        ids = np.concatenate(texts)
+        order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        hashes = np.array(words.hashes, np.uint64)[order]
+        row = [key, docs, packed(np.array([len(x) for x in texts], np.int32)), hashes.tobytes(), packed(rank[ids]), len(docs), len(hashes), len(ids)]
+        kinds = [pa.int64(), pa.list_(kind), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], BLOCK_NAMES)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kind = TaskContext.get().partitionId() << 32, pa.null()
+        docs, texts, held, words = [], [], 0, Words()
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = text.as_py().encode().split()
+                docs.append(doc_id)
+                texts.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+                held += len(own)
+                if held >= tokens:
+                    yield block(key, kind, docs, texts, words)
+                    key, docs, texts, held, words = key + 1, [], [], 0, Words()
+        if docs:
+            yield block(key, kind, docs, texts, words)
+
+    return blocks
+
+
+def blocks(docs: DataFrame, tokens: int = TOKENS) -> DataFrame:
+    """A row for each block: doc_id and number of words of its rows, hashes of its distinct words, numbers of the words at its places."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"block long, docs array<{kind}>, sizes binary, words binary, ids binary, n_docs long, n_distinct long, n_words long"
+    return docs.select("doc_id", text_or_empty("text").alias("text")).mapInArrow(_blocker(tokens), schema)
+
+
+def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each document, hash of the word at each place, its place in its document) of a block."""
+    sizes = unpacked(row["sizes"], row["n_docs"], np.int32).astype(np.int64)
+    words = np.frombuffer(row["words"], np.uint64)[unpacked(row["ids"], row["n_words"], np.uint32)]
+    return sizes, words, np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def ngrams(words: np.ndarray, place: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, places where n-grams end, their hashes), shortest first."""
+    h = words
+    for n in range(1, order + 1):
+        if n > 1:
+            mixed = (np.r_[np.uint64(0), h[:-1]] * A) ^ words if len(words) else words
+            mixed ^= mixed >> np.uint64(29)
+            mixed = mixed * B + np.uint64(n)
+            mixed ^= mixed >> np.uint64(32)
+            h = mixed
+        at = np.flatnonzero(place >= n - 1)
+        yield n, at, h[at]
+
+
+# -- counts --------------------------------------------------------------------
+def edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's range of sorted hashes starts, and the end."""
+    starts = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    return np.r_[np.searchsorted(hashes, starts), len(hashes)]
+
+
+def lists(rows: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(block, n, bucket, size, hashes, counts): the distinct n-grams of each block."""
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = batch.slice(i, 1).drop_columns(["docs"]).to_pylist()[0]
+                _, words, place = opened(row)
+                for n, _, h in ngrams(words, place, order):
+                    h, c = np.unique(h, return_counts=True)
+                    at = edges(h, buckets)
+                    out = [(row["block"], n, k, int(hi - lo), packed_sorted(h[lo:hi]), packed(c[lo:hi])) for k, (lo, hi) in enumerate(zip(at, at[1:])) if hi > lo]
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], k) for j, k in enumerate(kinds)], LIST_NAMES)
 
-def ngrams(words: np.ndarray, order: int) -> np.ndarray:
-    """order x words: hashes of the n-grams that end at each place; 0 where there are not so many words before."""
-    out = [words]
-    for n in range(2, order + 1):
-        before = np.r_[np.uint64(0), out[-1][:-1]]
-        mixed = (before * A) ^ words
-        mixed ^= mixed >> np.uint64(29)
-        mixed = mixed * B + np.uint64(n)
-        mixed ^= mixed >> np.uint64(32)
-        mixed[: n - 1] = 0
-        out.append(mixed)
-    return np.concatenate(out)
+    return rows.mapInArrow(listed, LISTS)
 
 
-def hashed(order: int):
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def hashes(texts: pa.Array) -> pa.Array:
-        known: dict[bytes, int] = {}
-        rows = []
-        for x in texts:
-            words = (x.as_py() or "").encode().split()
-            for w in words:
-                if w not in known:
-                    known[w] = xxh64_intdigest(w, 1)
-            rows.append(ngrams(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), order))
-        ends = np.cumsum([0, *map(len, rows)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *rows]).view(np.int64), pa.int64()))
+def answers(found: DataFrame, prune: int = PRUNE) -> DataFrame:
+    """(block, n, bucket, size, counts): for each list the counts of its n-grams in all lists; single words all, of longer ones 0 below ``prune``."""
 
-    return hashes
+    def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        sizes = group["size"].to_pylist()
+        hashes = np.concatenate([unpacked_sorted(x.as_py(), n) for x, n in zip(group["hashes"], sizes)])
+        distinct, which = np.unique(hashes, return_inverse=True)
+        total = np.zeros(len(distinct), np.int64)
+        ends = np.cumsum(sizes).tolist()
+        for x, n, end in zip(group["counts"], sizes, ends):
+            total[which[end - n : end]] += unpacked(x, n, np.int64)  # a list has no hash twice
+        if key[0].as_py() > 1:
+            total[total < prune] = 0
+        counts = [packed(total[which[end - n : end]]) for n, end in zip(sizes, ends)]
+        return pa.table({c: group[c] for c in ("block", "n", "bucket", "size")} | {"counts": pa.array(counts, pa.binary())})
 
+    return found.groupBy("n", "bucket").applyInArrow(add, "block long, n int, bucket int, size long, counts binary")
 
-def grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(doc_id, t, place, n, h): a row for each n-gram of each text; t is a hash of the text."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), hashed(order)(text_or_empty("text")).alias("hs"))
-    flat = rows.select("doc_id", "t", (F.size("hs") / order).cast("int").alias("size"), F.posexplode("hs").alias("at", "h"))
-    numbered = flat.select("doc_id", "t", F.pmod("at", "size").alias("place"), (F.floor(F.col("at") / F.col("size")) + 1).cast("int").alias("n"), "h")
-    return numbered.where("place >= n - 1")
 
+# -- scores --------------------------------------------------------------------
+def _scorer(order: int, factor: float, total: int) -> Callable:
+    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.drop_columns(["docs"]).to_pylist()[0]
+        sizes, words, place = opened(row)
+        told: dict[int, list] = {}
+        for n, _, size, counts in sorted(zip(*(right[c].to_pylist() for c in ("n", "bucket", "size", "counts"))), key=lambda x: x[:2]):
+            told.setdefault(n, []).append(unpacked(counts, size, np.int64))
+        value, used, shorter = np.zeros(len(words)), np.ones(len(words), np.int64), None
+        for n, at, h in ngrams(words, place, order):
+            count = np.zeros(len(words), np.int64)
+            if len(h):
+                count[at] = np.concatenate(told[n])[np.searchsorted(np.unique(h), h)]
+            seen = np.flatnonzero(count)
+            value[seen] = np.log(count[seen] / (total if n == 1 else shorter[seen - 1]))
+            used[seen] = n
+            shorter = count
+        given_up = np.minimum(place + 1, order) - used
+        value += given_up * np.log(factor)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sums = np.bincount(doc, value, len(sizes)), np.bincount(doc[given_up > 0], minlength=len(sizes))
+        return pa.table({"doc_id": left["docs"].combine_chunks().flatten(), "n_words": sizes, "score": sums[0].astype(np.float64), "n_backoff": sums[1].astype(np.int64)})
 
-def counts(rows: DataFrame, prune: int = PRUNE) -> DataFrame:
-    """(n, h, c): how often each n-gram is there; single words all, longer ones from ``prune`` on."""
-    return rows.groupBy("n", "h").agg(F.count("*").alias("c")).where((F.col("n") == 1) | (F.col("c") >= prune))
+    return score
 
 
-def scores(docs: DataFrame, order: int = ORDER, prune: int = PRUNE, factor: float = BACKOFF) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, prune: int = PRUNE, factor: float = BACKOFF, tokens: int = TOKENS, buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, score (sum of ln S) and n_backoff (words for which context was given up) of each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    n_words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    total = docs.agg(F.sum(n_words)).first()[0] or 0
-    rows = grams(docs, order)
-    seen = rows.join(counts(rows, prune), ["n", "h"]).repartition("doc_id", "t")
-    # Rows that repeat have each n-gram twice, with the same counts.
-    levels = [F.max(F.when(F.col("n") == k, F.col("c"))).alias(f"c{k}") for k in range(1, order + 1)]
-    places = seen.groupBy("doc_id", "t", "place").agg(*levels)
-    before = Window.partitionBy("doc_id", "t").orderBy("place")
-    value, used = F.log(F.col("c1") / F.lit(float(max(1, total)))), F.lit(1)
-    for k in range(2, order + 1):
-        longer = F.col(f"c{k}").isNotNull()
-        value = F.when(longer, F.log(F.col(f"c{k}") / F.col(f"b{k - 1}"))).otherwise(value)
-        used = F.when(longer, k).otherwise(used)
-    contexts = places.withColumns({f"b{k}": F.lag(f"c{k}").over(before) for k in range(1, order)})
-    given_up = F.least(F.col("place") + 1, F.lit(order)) - used
-    judged = contexts.select("doc_id", "t", (value + given_up * F.lit(float(np.log(factor)))).alias("s"), (given_up > 0).cast("long").alias("back"))
-    summed = judged.groupBy("doc_id", "t").agg(F.sum("s").alias("score"), F.sum("back").alias("n_backoff"))
-    named = summed.select(F.col("doc_id").alias("_doc_id"), F.col("t").alias("_t"), "score", "n_backoff")
-    own = docs.select("doc_id", F.xxhash64("text").alias("t"), n_words.alias("n_words"))
-    joined = own.join(named, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("t") == F.col("_t")), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("n_backoff", F.lit(0)).alias("n_backoff"))
+    rows = cut(blocks(docs, tokens))
+    total = rows.agg(F.sum("n_words")).first()[0] or 0
+    told = cut(answers(lists(rows, order, buckets or max(BUCKETS, total // BUCKET_WORDS)), prune))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_words long, score double, n_backoff long"
+    return rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scorer(order, factor, max(1, total)), schema)
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenestra.checkpoints import cut  # noqa: F401  the operators' one way to cut lineage
+from fenestra.checkpoints import cut, freed  # noqa: F401  the operators' one way to cut lineage
 
 #: The word pattern of the contracts, and its separators for Java's split().
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,7 @@ BATCH = 2000
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    freed(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

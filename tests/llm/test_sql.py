@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from fenestra.llm import backoff, lines, queries
@@ -73,3 +74,17 @@ def test_scores_against_brute_force(spark, order):
     want = sorted((n, round(s, 6), b) for n, s, b in brute_scores(texts, order))
     for df in (docs, docs.repartition(7).orderBy("text")):
         assert sorted((r.n_words, round(r.score, 6), r.n_backoff) for r in backoff.scores(df, order).collect()) == want
+
+
+def test_scores_do_not_depend_on_blocks_and_buckets_and_little_is_shuffled(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))) for _ in range(120)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = sorted((n, round(s, 6), b) for n, s, b in brute_scores(texts, 3))
+    for tokens, buckets in ((1, 1), (50, 7), (10**6, 300)):
+        assert sorted((r.n_words, round(r.score, 6), r.n_backoff) for r in backoff.scores(docs, tokens=tokens, buckets=buckets).collect()) == want
+    # Distinct n-grams take under 6.5 bytes each where blocks have a million places; rows of a join took 20 and more for each place.
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 10**6, np.int64).astype(np.uint64) * np.uint64(2))
+    data = backoff.packed_sorted(hashes)
+    assert len(data) < 6.5 * len(hashes) and (backoff.unpacked_sorted(data, len(hashes)) == hashes).all()
+    assert len(backoff.unpacked_sorted(backoff.packed_sorted(hashes[:0]), 0)) == 0
