@@ -144,6 +144,21 @@ def small(rows: DataFrame, each: Column) -> DataFrame:
     return F.broadcast(rows) if (rows.agg(F.sum(each)).first()[0] or 0) <= BROADCAST else rows
 
 
+def term_counts(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, c_t): how many distinct texts have each wanted term. rows: of scanned().
+
+    Texts that are there once are counted where they are read, without a shuffle of
+    their terms; only those whose hash is there more often are told apart first.
+    """
+    key = F.xxhash64("document").alias("key")
+    copied = small(cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select("key")), F.lit(16))
+    texts = docs.select(digest(text_or_empty("text")).alias("document"), "text").withColumn("key", key)
+    once = texts.join(copied, "key", "left_anti").select(F.explode(terms_of(F.col("text"))).alias("term"))
+    more = texts.join(copied, "key", "left_semi").select("document", terms_of(F.col("text")).alias("terms")).dropDuplicates(["document"]).select(F.explode("terms").alias("term"))
+    counts = [x.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("c")) for x in (once, more)]
+    return counts[0].unionByName(counts[1]).groupBy("term").agg(F.sum("c").alias("c_t"))
+
+
 def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, limit: float = GENERALISE) -> DataFrame:
     """(document, hidden): for each document with disclosing terms a map of these to the strongest disclosure. rows: of scanned()."""
     n = F.lit(float(max(1, rows.select("document").distinct().count())))
@@ -161,8 +176,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, limit:
     pairs = pairs.join(at_least, "term").where(F.col("c_with") <= 1.000001 * F.col("c_et") * F.pow(n / F.col("c_e"), F.lit(1 - limit)))
     pairs = cut(pairs.drop("c_with"))
     wanted = small(cut(pairs.select("term").distinct()), F.lit(32))
-    in_docs = docs.select(digest(text_or_empty("text")).alias("document"), F.explode(terms_of(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct()
-    of_term = in_docs.groupBy("term").agg(F.count("*").alias("c_t"))
+    of_term = term_counts(docs, rows, wanted)
     pmi = F.log2(n * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
     # An entity that every document has is no information.
     disclosure = F.when(F.col("c_e") < n, pmi / F.log2(n / F.col("c_e"))).otherwise(0.0)

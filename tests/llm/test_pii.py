@@ -103,3 +103,18 @@ def test_disclosing_terms(spark):
     assert "zeb@corp.org" not in clean[0] and "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[150] == docs[56][1]
     kinds = spark.createDataFrame([("Zebulon",), ("weather",), ("x23",), ("\u738b\u82b3",), ("\u00c9mile",)], "w string").select(pii.kind_of(F.col("w")).alias("k"))
     assert [r.k for r in kinds.collect()] == ["[NAME]", "[WORD]", "[CODE]", "[NAME]", "[NAME]"]
+
+
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST, 0])
+def test_terms_of_texts_without_copies_are_counted_where_they_are_read(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST", broadcast)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Foo", "foo", "bar", "baz", "字", "7"]) for _ in range(rng.randint(0, 5))) + f" t{i % 90}" for i in range(120)] + [None, "", "", "foo foo", "foo foo"]
+    docs = spark.createDataFrame([(i % 7, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = Counter(w for x in {t or "" for t in texts} for w in {y.lower() for y in x.split()})
+    rows = pii.cut(pii.scanned(docs))
+    wanted = spark.createDataFrame([(w,) for w in want], "w string").select(pii.term_of(F.col("w")).alias("term"), "w")
+    got = pii.term_counts(docs, rows, wanted.select("term"))
+    assert {r.w: r.c_t for r in wanted.join(got, "term").collect()} == want
+    # Shuffles by document and term moved a row for each word of each text; what is shuffled now by document has its terms in one row.
+    assert not re.search(r"hashpartitioning\(document#\d+, term#|hashpartitioning\(term#\w+, document#", got._jdf.queryExecution().executedPlan().toString())
