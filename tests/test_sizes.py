@@ -1,6 +1,8 @@
 """What large tables broke: sides that were broadcast by the size of compressed files, pairs that were all made, sums held in one task."""
 
-from fenestra.operators import edits, tree
+import random
+
+from fenestra.operators import edits, tasks, tree
 
 NS = 'xmlns:android="http://schemas.android.com/apk/res/android"'
 
@@ -31,3 +33,28 @@ def test_trees_leave_in_batches_and_whole(spark):
     got = sorted(((r.doc, r.node if r.node is not None else -1, r.path, r.attrs) for r in nodes.mapInArrow(count, nodes.schema).collect()), key=lambda r: r[:2])
     want = [(d, n["node"] if n["node"] is not None else -1, n.get("path"), n["attrs"]) for d, x in rows for n in tree.nodes_of(x, "xml")]
     assert got == want and batches.value < 100
+
+
+TASK, DOCUMENT = "task int, codes array<string>, terms array<string>", "doc_id int, codes array<string>, terms array<string>, views boolean, compose_only boolean, general boolean, length int"
+
+
+def test_contenders_hold_what_all_pairs_give(spark):
+    rng = random.Random(8)
+    some = lambda n, of: [rng.choice(of) for _ in range(rng.randrange(n))]
+    for sparse in (0.1, 0.7):
+        wanted = spark.createDataFrame([(t, some(3, "abcdefgh"), some(4, [*"abcdefgh", None])) for t in range(60)] + [(98, None, ["a"]), (99, ["a"], None)], TASK)
+        docs = spark.createDataFrame([(d, some(3, "abcdefgh"), some(5, [*"abcdefgh", None]), rng.random() < sparse, rng.random() < 0.2, rng.random() < 0.2, rng.randrange(3)) for d in range(150)] + [(998, None, None, True, False, False, 0)], DOCUMENT).repartition(3)
+        related = spark.createDataFrame([(rng.randrange(60), rng.randrange(200)) for _ in range(150)], "task int, doc_id int")
+        pairs = tasks.relevant(wanted, docs, related)
+        for limit in (1, 2, 4):
+            assert sorted(tasks.helpful(tasks.contenders(wanted, docs, related, limit), limit).collect()) == sorted(tasks.helpful(pairs, limit).collect())
+        assert sorted(tasks.unhelpful(wanted, docs, None, 3, 5).collect()) == sorted(tasks.unhelpful(wanted, docs, pairs, 3, 5).collect())
+
+
+def test_contenders_are_few(spark):
+    """Each of 400 tasks shares a code and two terms with each of 400 documents."""
+    wanted = spark.range(400).selectExpr("cast(id as int) AS task", "array('c') AS codes", "array('x', 'y') AS terms")
+    docs = spark.range(400).selectExpr("cast(id as int) AS doc_id", "array('c') AS codes", "array('x', 'y') AS terms", "id % 2 = 0 AS views", "false AS compose_only", "false AS general", "cast(id % 5 as int) AS length")
+    few = tasks.contenders(wanted, docs, spark.createDataFrame([(1, 7)], "task int, doc_id int"))
+    assert few.count() <= 400 * 4 + 1 and {(r.task, r.place): r.doc_id for r in tasks.helpful(few).collect()}[1, 1] == 7
+    assert tasks.unhelpful(wanted.limit(5), docs, None).count() == 0
