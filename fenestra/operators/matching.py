@@ -14,6 +14,28 @@ def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], key: Sequen
     return joined.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
+def first_reaching(left: DataFrame, right: DataFrame, on: Sequence[str], least: str, bound: str, key: str, out: str) -> DataFrame:
+    """left with the smallest key of the rows of right that agree in ``on`` and whose bound is at least ``least``; null if there is none, or least is null.
+
+    By falling bound, only a row whose key is smaller than all before can be that of
+    anyone. Such rows are steps, about as many as the logarithm of a group where
+    bounds and keys are independent; a row of left stands on one step and never
+    meets the group. Steps are looked for in shares of a group first, so that no
+    task sorts a whole one.
+    """
+    steps = right.where(F.col(bound).isNotNull()).select(*on, F.col(bound).alias("_upto"), F.col(key).alias(out))
+    falling = [F.desc("_upto"), out]
+    for share in ([F.pmod(F.xxhash64(out), F.lit(64))], []):
+        before = F.min(out).over(Window.partitionBy(*on, *share).orderBy(*falling).rowsBetween(Window.unboundedPreceding, -1))
+        steps = steps.withColumn("_before", before).where(F.col("_before").isNull() | (F.col(out) < F.col("_before"))).drop("_before")
+    steps = steps.withColumn("_over", F.lead("_upto").over(Window.partitionBy(*on).orderBy(*falling)))
+    l, r = left.alias("l"), steps.alias("r")
+    stands = (F.col(f"l.{least}") <= F.col("r._upto")) & (F.col("r._over").isNull() | (F.col(f"l.{least}") > F.col("r._over")))
+    for name in on:
+        stands = stands & (F.col(f"l.{name}") == F.col(f"r.{name}"))
+    return l.join(r, stands, "left").select("l.*", f"r.{out}")
+
+
 def fallback(left: DataFrame, first: DataFrame, second: DataFrame, on_first: str, on_second: str, columns: Sequence[str]) -> DataFrame:
     """left with columns of first by on_first, else of second by on_second; both are unique by their key."""
     one = first.select(on_first, *(F.col(c).alias(f"_1_{c}") for c in columns))

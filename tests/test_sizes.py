@@ -2,7 +2,8 @@
 
 import random
 
-from fenestra.operators import edits, tasks, tree
+from fenestra.operators import edits, matching, stats, tasks, tree
+from pyspark.sql import functions as F
 
 NS = 'xmlns:android="http://schemas.android.com/apk/res/android"'
 
@@ -58,3 +59,20 @@ def test_contenders_are_few(spark):
     few = tasks.contenders(wanted, docs, spark.createDataFrame([(1, 7)], "task int, doc_id int"))
     assert few.count() <= 400 * 4 + 1 and {(r.task, r.place): r.doc_id for r in tasks.helpful(few).collect()}[1, 1] == 7
     assert tasks.unhelpful(wanted.limit(5), docs, None).count() == 0
+
+
+def test_steps_give_the_best_of_all_matches(spark):
+    rng = random.Random(4)
+    for most in (3, 40):
+        left = spark.createDataFrame([(i, rng.randrange(4), rng.choice([None, *range(most)])) for i in range(300)], "a long, g int, x int")
+        right = spark.createDataFrame([(i, rng.randrange(3), rng.choice([None, *range(most)])) for i in rng.sample(range(1000), 200)], "b long, g int, y int").repartition(3)
+        want = matching.best_match(left, right.where("y IS NOT NULL"), ["g"], ["a"], [(F.col("y") >= F.col("x")).desc_nulls_last(), F.col("b")]).selectExpr("a", "CASE WHEN y >= x THEN b END")
+        assert sorted(matching.first_reaching(left, right, ["g"], "x", "y", "b", "b").select("a", "b").collect()) == sorted(want.collect())
+
+
+def test_rows_meet_steps_not_groups(spark):
+    """5,000 rows and 5,000 of the same group; steps are some tens."""
+    left = spark.range(5000).selectExpr("id AS a", "1 AS g", "pmod(xxhash64(id, 1), 100000) AS x")
+    right = spark.range(5000).selectExpr("id AS b", "1 AS g", "pmod(xxhash64(id, 2), 100000) AS y")
+    found = matching.first_reaching(left, right, ["g"], "x", "y", "b", "b")
+    assert found.count() == 5000 and found.select("b").distinct().count() < 60
