@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fenestra.checkpoints import cut
+from fenestra.checkpoints import cut, written
 from fenestra.functions.text import reference, view_type
 from fenestra.operators import vocabulary as V
 from fenestra.operators.rules import words
@@ -40,18 +40,19 @@ def related_labels(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     fits = F.when(may_own_label(), F.col("path"))
     peers = Window.partitionBy("doc", "parent")
     line = peers.orderBy("ordinal")
-    rows = nodes.where(F.col("error").isNull()).select("doc", "node", "parent", "ordinal", "path", "ancestors", "attrs", fits.alias("_fit"))
-    rows = cut(rows.withColumns({
+    ident = reference(F.col("attrs")["android:id"], "id")
+    read = nodes.where(F.col("error").isNull())
+    # Only what siblings are looked at for goes through the window.
+    rows = written(read.select("doc", "node", "parent", "ordinal", fits.alias("_fit")).withColumns({
         "_before": F.last("_fit", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)),
         "_after": F.first("_fit", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)),
         "_others": F.count("_fit").over(peers) - F.col("_fit").isNotNull().cast("int"),
-    }))
-    ident = reference(F.col("attrs")["android:id"], "id")
-    own = targets.select("doc", "path").distinct().join(rows, ["doc", "path"]).where(ident.isNotNull() & F.col("parent").isNotNull())
+    }).select("doc", "node", "parent", F.coalesce("_before", "_after").alias("nearest"), "_others").where("parent IS NOT NULL AND nearest IS NOT NULL"))
+    own = targets.select("doc", "path").distinct().join(read.select("doc", "node", "parent", "path", "ancestors", ident.alias("_ident")).where("parent IS NOT NULL AND _ident IS NOT NULL"), ["doc", "path"])
     # A target, its container and the container of that stand among siblings of their own.
-    at = own.select("doc", "path", F.concat(F.lit("@id/"), ident).alias("required_value"), F.posexplode(F.slice(F.concat(F.array("node"), F.col("ancestors")), 1, 3)).alias("level", "node"))
-    beside = at.join(rows.where(F.col("parent").isNotNull()).select("doc", "node", F.coalesce("_before", "_after").alias("nearest"), "_others"), ["doc", "node"])
-    good = beside.where(F.col("nearest").isNotNull() & ((F.col("level") < 2) | (F.col("_others") == 1)))
+    at = own.select("doc", "path", F.concat(F.lit("@id/"), "_ident").alias("required_value"), F.posexplode(F.slice(F.concat(F.array("node"), F.col("ancestors")), 1, 3)).alias("level", "node"))
+    beside = at.join(rows.select("doc", "node", "nearest", "_others"), ["doc", "node"])
+    good = beside.where((F.col("level") < 2) | (F.col("_others") == 1))
     first = good.groupBy("doc", "path", "required_value").agg(F.min_by(F.struct("nearest", "level"), "level").alias("x"))
     return first.select("doc", "path", F.col("x.nearest").alias("selector"), F.element_at(F.array(*map(F.lit, RELATIONS)), F.col("x.level") + 1).alias("relationship"), "required_value")
 

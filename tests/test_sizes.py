@@ -2,7 +2,7 @@
 
 import random
 
-from fenestra.operators import edits, matching, stats, tasks, tree
+from fenestra.operators import edits, matching, rules, stats, tasks, tree
 from pyspark.sql import functions as F
 
 NS = 'xmlns:android="http://schemas.android.com/apk/res/android"'
@@ -103,3 +103,11 @@ def test_signed_ranks_hold_no_list_of_sums():
     tracemalloc.stop()
     # By the normal distribution, corrected for ties, which is right to some per cent here.
     assert peak < 100e6 and w == 1015 * sum(2000 * i + 1000.5 for i in range(10)) and 0.05 < p < 0.12
+
+
+def test_described_trees_are_compressed_tables_without_a_join(spark):
+    rows = [(str(i), f"r{i % 3}", f"<L {NS}>" + "<V/>" * 5 + "</L>") for i in range(20)] + [(None, "r", "<L/>"), ("x", None, "<L")]
+    nodes = rules.described(spark.createDataFrame(rows, "doc string, root string, xml string"))
+    assert "FileScan parquet" in plan_of(nodes) and "ExistingRDD" not in plan_of(nodes)
+    assert nodes.count() == 121 and {(r.doc, r.root) for r in nodes.collect()} == {(d, r) for d, r, _ in rows if d}
+    assert nodes.where("error IS NOT NULL").select("doc").collect() == [("x",)]
