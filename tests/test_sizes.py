@@ -2,7 +2,7 @@
 
 import random
 
-from fenestra.operators import edits, matching, rules, stats, tasks, tree
+from fenestra.operators import edits, matching, retrieval, rules, stats, tasks, tree
 from pyspark.sql import functions as F
 
 NS = 'xmlns:android="http://schemas.android.com/apk/res/android"'
@@ -111,3 +111,20 @@ def test_described_trees_are_compressed_tables_without_a_join(spark):
     assert "FileScan parquet" in plan_of(nodes) and "ExistingRDD" not in plan_of(nodes)
     assert nodes.count() == 121 and {(r.doc, r.root) for r in nodes.collect()} == {(d, r) for d, r, _ in rows if d}
     assert nodes.where("error IS NOT NULL").select("doc").collect() == [("x",)]
+
+
+def test_best_documents_without_all_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(n)))
+    docs = spark.createDataFrame([(f"d{i:03}", text(12)) for i in range(150)] + [(f"e{i}", "a b c") for i in range(9)] + [("none", None), ("odd", "中文 zz")], "doc string, text string").repartition(5)
+    asked = spark.createDataFrame([(i, text(6)) for i in range(20)] + [(50, "a b c a"), (51, None), (52, "nowhere"), (53, "中文")], "ask int, text string")
+    monkeypatch.setattr(retrieval, "BLOCK", 7)
+    every = retrieval.bm25(asked, docs, "ask", "doc", F.col("text"), F.col("text")).select("ask", "doc", F.round("score", 6).alias("s")).collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (r.ask, -r.s, r.doc)):
+        want.setdefault(r.ask, []).append((r.doc, r.s))
+    got = {}
+    for r in sorted(retrieval.bm25_top(asked, docs, "ask", "doc", F.col("text"), F.col("text"), 3, 6).collect(), key=lambda r: (r.ask, r["rank"])):
+        got.setdefault(r.ask, []).append((r.doc, r.score))
+    assert got == {a: x[:3] for a, x in want.items()} and got[53][0][0] == "odd" and 52 not in got
+    assert retrieval.bm25_top(asked, docs.where("false"), "ask", "doc", F.col("text"), F.col("text"), 3, 6).count() == 0
