@@ -128,3 +128,30 @@ def test_best_documents_without_all_pairs(spark, monkeypatch):
         got.setdefault(r.ask, []).append((r.doc, r.score))
     assert got == {a: x[:3] for a, x in want.items()} and got[53][0][0] == "odd" and 52 not in got
     assert retrieval.bm25_top(asked, docs.where("false"), "ask", "doc", F.col("text"), F.col("text"), 3, 6).count() == 0
+
+
+def test_hybrid_without_rows_of_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["label", "labels", "labelled", "hint", "hints", "button", "x", "中文", "view7"]
+    docs = spark.createDataFrame([(i, rng.choice("ab"), " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(140)] + [(i, "a", "label hint") for i in range(200, 206)] + [(300, None, "label"), (301, "c", None)], "doc int, g string, text string").repartition(4)
+    asked = docs.where("doc % 5 = 0").withColumnRenamed("doc", "ask")
+    lexical = retrieval.normalised(retrieval.bm25(asked, docs, "ask", "doc", F.col("text"), F.col("text"), "g"), "ask").withColumnRenamed("score", "l")
+    q, v = (retrieval.subword_vectors(df, [n, "g"], retrieval.tokens(F.col("text"))) for df, n in ((asked, "ask"), (docs, "doc")))
+    near = retrieval.normalised(retrieval.sparse_cosine(q, v, "ask", "doc", ["g"]), "ask").withColumnRenamed("score", "d")
+    pairs = lexical.join(near, ["ask", "doc"], "left").where("ask <> doc").select("ask", "doc", F.round(0.65 * F.col("l") + (1 - 0.65) * F.coalesce("d", F.lit(0.0)), 9).alias("s")).collect()
+    want = {}
+    for r in sorted(pairs, key=lambda r: (r.ask, -r.s, r.doc)):
+        want.setdefault(r.ask, []).append((r.doc, r.s))
+    monkeypatch.setattr(retrieval, "REMEMBERED", 3)
+    for part, share in ((4096, 1024), (17, 5)):
+        got = {}
+        for r in sorted(retrieval.hybrid_top(asked, docs, "ask", "doc", "text", "g", 3, part=part, share=share).collect(), key=lambda r: (r.ask, r["rank"])):
+            got.setdefault(r.ask, []).append((r.doc, r.hybrid))
+        assert {a: [x for x, _ in y] for a, y in got.items()} == {a: [x for x, _ in y[:3]] for a, y in want.items()}
+        assert all(abs(x[1] - y[1]) < 2e-9 for a in got for x, y in zip(got[a], want[a]))
+
+
+def test_words_are_forgotten_between_documents():
+    vectors = retrieval.SubwordVectors(64)
+    vectors.known = {str(i): None for i in range(retrieval.REMEMBERED + 1)}
+    assert abs((vectors.of(["hint", "label"]) ** 2).sum() - 1) < 1e-12 and vectors.of([]).sum() == 0
