@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fenestra.checkpoints import cut, written
+from fenestra.checkpoints import grown, written
 from fenestra.functions.text import reference, view_type
 from fenestra.operators import vocabulary as V
 from fenestra.operators.rules import words
@@ -91,13 +91,14 @@ def include_closure(files: DataFrame, includes: DataFrame, layouts: DataFrame, i
     whatever cycles, is incomplete. That is found backwards from the broken files,
     a mark for each file, not a row for each path.
     """
-    edges = cut(includes.join(layouts.select("name", F.col("path").alias("target")), "name").select(F.col("path").alias("source"), "target").distinct())
+    edges = written(includes.join(layouts.select("name", F.col("path").alias("target")), "name").select(F.col("path").alias("source"), "target").distinct())
     unresolved = includes.join(layouts.select("name"), "name", "left_anti").select("path")
-    marked = cut(files.where(~F.col("ok")).select("path").unionByName(unresolved).distinct())
-    new = marked
+    new = written(files.where(~F.col("ok")).select("path").unionByName(unresolved).distinct())
+    parts = [new]
     while not new.isEmpty():
-        new = cut(edges.join(new.select(F.col("path").alias("target")), "target").select(F.col("source").alias("path")).distinct().join(marked, "path", "left_anti"))
-        marked = cut(marked.unionByName(new))
+        new = written(edges.join(new.select(F.col("path").alias("target")), "target").select(F.col("source").alias("path")).distinct().join(grown(parts), "path", "left_anti"))
+        parts.append(new)
+    marked = grown(parts)
     unreadable = files.where(~F.col("ok")).select("path")
     inside = reachable(edges.join(unreadable.withColumnRenamed("path", "source"), "source", "left_anti"), starts.select(F.col("path").alias("item")))
     named = inside.join(ids.select(F.col("path").alias("item"), "id"), "item", "left").groupBy("start").agg(F.array_sort(F.collect_set("id")).alias("ids"))

@@ -167,16 +167,14 @@ def located(targets: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, item): what is reached from each start over edges (source, target), itself included; cycles end as nothing new is reached."""
-    seen = starts.select(F.col("item").alias("start"), "item").distinct()
-    frontier = seen
-    from fenestra.checkpoints import cut
-
-    while True:
-        frontier = cut(frontier.join(edges.select(F.col("source").alias("item"), "target"), "item").select("start", F.col("target").alias("item")).distinct().join(seen, ["start", "item"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    from fenestra.checkpoints import grown, written
+
+    frontier = written(starts.select(F.col("item").alias("start"), "item").distinct())
+    steps, parts = edges.select(F.col("source").alias("item"), "target"), [frontier]
+    while not frontier.isEmpty():
+        frontier = written(frontier.join(steps, "item").select("start", F.col("target").alias("item")).distinct().join(grown(parts), ["start", "item"], "left_anti"))
+        parts.append(frontier)
+    return grown(parts)
 
 
 def first_lines(files: DataFrame, path: str, content: str, wanted: DataFrame) -> DataFrame:

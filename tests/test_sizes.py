@@ -155,3 +155,19 @@ def test_words_are_forgotten_between_documents():
     vectors = retrieval.SubwordVectors(64)
     vectors.known = {str(i): None for i in range(retrieval.REMEMBERED + 1)}
     assert abs((vectors.of(["hint", "label"]) ** 2).sum() - 1) < 1e-12 and vectors.of([]).sum() == 0
+
+
+def test_states_of_loops_are_not_written_anew_each_round(spark, monkeypatch):
+    from fenestra import checkpoints
+
+    rows, plain = [], checkpoints.written
+
+    def counted(df):
+        out = plain(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(checkpoints, "written", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "source long, target long")
+    got = tree.reachable(edges, spark.createDataFrame([(0,)], "item long"))
+    assert sorted(r.item for r in got.collect()) == list(range(21)) and sum(rows) < 21 * 4
