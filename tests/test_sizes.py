@@ -171,3 +171,15 @@ def test_states_of_loops_are_not_written_anew_each_round(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "source long, target long")
     got = tree.reachable(edges, spark.createDataFrame([(0,)], "item long"))
     assert sorted(r.item for r in got.collect()) == list(range(21)) and sum(rows) < 21 * 4
+
+
+def test_layouts_of_a_small_file_are_made_in_many_tasks(spark, sf):
+    from fenestra.plans.curate import _layouts
+
+    assert _layouts(spark, sf).rdd.getNumPartitions() == 4
+
+
+def test_files_are_parsed_once_for_edits(spark):
+    files = spark.createDataFrame([("p", "res/layout/a.xml", f"<L {NS}><V/></L>")], "package string, path string, content string")
+    ops = spark.createDataFrame([("p", 0, "set_attribute", "res/layout/a.xml", "/L[1]/V[1]", "hint", "x", None)], "package string, position int, op string, path string, selector string, attribute string, value string, name string")
+    assert "MapInArrow" not in plan_of(edits.validated(ops, files)) and edits.validated(ops, files).first().rejected is None
